@@ -9,18 +9,24 @@ from pyspark.sql import functions as F
 HOT = 20_000
 
 
-def pairs_within(rows: DataFrame, keys: list[str], id_col: str, differ: str | None = None, hot: int = HOT) -> DataFrame:
-    """All ``(id_a, id_b)``, ``id_a < id_b``, of rows with equal ``keys``; with ``differ`` only where that column differs.
+def pairs_within(rows: DataFrame, keys: list[str], id_col: str, differ: str | None = None, fresh: str | None = None, hot: int = HOT) -> DataFrame:
+    """All ``(id_a, id_b)``, ``id_a < id_b``, of rows with equal ``keys``.
 
-    ``rows`` must be cheap to read twice. Rows of a key with more than ``hot`` rows are cut into blocks: one side keeps
-    its block, the other goes to every block, so no task holds the whole key. Null keys make no pairs.
+    ``differ``: only where that column differs. ``fresh``: only pairs of which at least one row is true in that column.
+    ``rows`` must be cheap to read twice. Rows of a key with more than ``hot`` rows are cut into blocks, and the other
+    side of the pairs goes to every block, so no task holds the whole key. Null keys make no pairs.
     """
-    spread = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(*keys, F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
-    extra = [differ] if differ else []
-    known = rows.select(*keys, id_col, *extra).join(spread, keys)
-    a = known.withColumn("block", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int")).select(*keys, "block", F.col(id_col).alias("id_a"), *(F.col(x).alias("x_a") for x in extra))
-    b = known.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, "block", F.col(id_col).alias("id_b"), *(F.col(x).alias("x_b") for x in extra))
-    out = a.join(b, [*keys, "block"]).where("id_a < id_b")
+    known = rows.select(*keys, F.col(id_col).alias("id"), (F.col(fresh) if fresh else F.lit(True)).alias("fresh"), *([F.col(differ).alias("x")] if differ else []))
+    spread = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("any")).where((F.col("n") > 1) & F.col("any"))
+    known = known.join(spread.select(*keys, F.ceil(F.col("n") / hot).cast("int").alias("blocks")), keys)
+    a = known.where("fresh").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "fresh")
+    b = known.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    for c in ["id", *(["x"] if differ else [])]:
+        a, b = a.withColumnRenamed(c, c + "_a"), b.withColumnRenamed(c, c + "_b")
+    once = (F.col("id_a") < F.col("id_b")) | (~F.col("fresh") & (F.col("id_a") != F.col("id_b")))
+    out = a.join(b, [*keys, "block"]).where(once)
     if differ:
         out = out.where(~F.col("x_a").eqNullSafe(F.col("x_b")))
-    return out.select("id_a", "id_b")
+    if not fresh:
+        return out.select("id_a", "id_b")
+    return out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))

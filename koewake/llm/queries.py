@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from koewake.llm import lookalike
+from koewake.llm import history, lookalike
 from koewake.plans.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,13 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(load(spark, sf_dir, "audio_cache"), ["asr_text", "raw_asr_text"], ["id"])
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "audio_cache", "id", "file_hash", "file_name", "source_dir", "created_at")
+    return history.same_recordings(rows, day="created_at")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_forms)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found)}
 
 
 def oracle_sql() -> dict[str, str]:
