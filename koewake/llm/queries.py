@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from koewake.llm import history, lookalike
+from koewake.llm import history, lookalike, percentiles, quota_sample
+from koewake.functions.labels import clean_label, clean_label_sql
+from koewake.functions.paths import clean_dir, clean_dir_sql
 from koewake.plans.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +28,80 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.same_recordings(rows, day="created_at")
 
 
+SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted durations per day, directory and emotion: the parts that days and directories are combined from."""
+    rows = load(spark, sf_dir, "audio_cache", "duration_ms", "emotion_final", "source_dir", "created_at")
+    both = F.array(
+        F.struct(F.lit("emotion_final").alias("grouping"), clean_label(F.col("emotion_final")).alias("key")),
+        F.struct(F.lit("source_dir").alias("grouping"), clean_dir(F.col("source_dir")).alias("key")),
+    )
+    rows = rows.where("duration_ms > 0").select("duration_ms", F.explode(both).alias("g"))
+    return percentiles.value_counts(rows, {"grouping": F.col("g.grouping"), "key": F.col("g.key")}, F.col("duration_ms"))
+
+
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = percentiles.percentiles(_durations(spark, sf_dir), ["grouping", "key"], SHARES)
+    return out.select("grouping", "key", "n", "share", (F.floor(F.col("percentile") * 1024 + 0.5) / F.lit(1024.0)).alias("duration_ms"))
+
+
+def p3_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The medians of each directory by month, combined from counts that were made by day."""
+    rows = load(spark, sf_dir, "audio_cache", "duration_ms", "source_dir", "created_at").where("duration_ms > 0")
+    daily = percentiles.value_counts(rows, {"dir": clean_dir(F.col("source_dir")), "day": F.to_date("created_at")}, F.col("duration_ms"))
+    monthly = percentiles.combine([daily.withColumn("month", F.date_format("day", "yyyy-MM"))], ["dir", "month"])
+    out = percentiles.percentiles(monthly, ["dir", "month"], (0.5, 0.9))
+    return out.select("dir", "month", "n", "share", (F.floor(F.col("percentile") * 1024 + 0.5) / F.lit(1024.0)).alias("duration_ms"))
+
+
+def _plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = load(spark, sf_dir, "audio_cache", "id", "status", "emotion", "emotion_final").where("status = 'done'")
+    return quota_sample.sample_by_plan(rows, load(spark, sf_dir, "sample_targets"), quota_sample.emotion_of(F.col("emotion_final"), F.col("emotion")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plans(spark, sf_dir)[1].where("exhausted").select("plan_id", "emotion")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plans(spark, sf_dir)[1]
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plans(spark, sf_dir)[0]
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found)}
+    all_of = (p1_found, p1_forms, p2_found, p3_percentiles, p3_combined_days, p4_found, p4_report, p4_sample)
+    return {f.__name__: f for f in all_of}
+
+
+def _shares_sql(groups: str, source: str, shares: tuple[float, ...]) -> str:
+    """DuckDB's own exact percentiles, one row for each share."""
+    one = "SELECT {g}, count(*) AS n, CAST({s} AS DOUBLE) AS share, floor(quantile_cont(duration_ms, {s}) * 1024 + 0.5) / 1024.0 AS duration_ms FROM x GROUP BY ALL"
+    return f"WITH x AS ({source}) " + " UNION ALL ".join(one.format(g=groups, s=s) for s in shares)
+
+
+def _p4_sql() -> str:
+    emotion = f"coalesce({clean_label_sql('emotion_final')}, {clean_label_sql('emotion')}, 'neutral')"
+    return f"""
+        WITH c AS (SELECT {emotion} AS category, count(*) AS available FROM audio_cache WHERE status = 'done' GROUP BY 1),
+        w AS (SELECT plan_id, emotion, {clean_label_sql('emotion')} AS category,
+                     greatest(coalesce(min_rows, 0), CAST(ceil(round(coalesce(target_share, 0) * coalesce(sample_rows, 0), 6)) AS BIGINT)) AS wanted FROM sample_targets)
+        SELECT plan_id, emotion, wanted, coalesce(available, 0) AS available, least(wanted, coalesce(available, 0)) AS taken, coalesce(available, 0) < wanted AS exhausted
+        FROM w LEFT JOIN c USING (category)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    positive = "FROM audio_cache WHERE duration_ms > 0"
+    label, place = clean_label_sql("emotion_final"), clean_dir_sql("source_dir")
+    return {
+        "p3_percentiles": _shares_sql(
+            "grouping, key", f"SELECT 'emotion_final' AS grouping, {label} AS key, duration_ms {positive} UNION ALL SELECT 'source_dir', {place}, duration_ms {positive}", SHARES
+        ),
+        "p3_combined_days": _shares_sql("dir, month", f"SELECT {place} AS dir, strftime(created_at, '%Y-%m') AS month, duration_ms {positive}", (0.5, 0.9)),
+        "p4_found": f"SELECT plan_id, emotion FROM ({_p4_sql()}) WHERE exhausted",
+        "p4_report": _p4_sql(),
+    }
