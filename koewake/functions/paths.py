@@ -24,7 +24,7 @@ def clean_dir(path: Column) -> Column:
 
 def clean_dir_sql(x: str) -> str:
     """The same for DuckDB, whose regular expressions have no look-ahead."""
-    p = f"regexp_replace(trim({x}), '/+', '/', 'g') || '/'"
+    p = f"regexp_replace(trim({x}) || '/', '/+', '/', 'g')"
     p = f"regexp_replace({p}, '(/\\.)+/', '/', 'g')"
     for _ in range(PARENT_STEPS):
         p = f"regexp_replace({p}, '/[^/.][^/]*/\\.\\./', '/')"
