@@ -70,11 +70,13 @@ def _running(width: int):
     return run
 
 
-def percentiles(counts: DataFrame, groups: Sequence[str], shares: Sequence[float], partitions: int | None = None) -> DataFrame:
-    """Rows ``(*groups, n, share, percentile)``: exact percentiles of counted values, linear between neighbours."""
+def ranked(counts: DataFrame, groups: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Rows ``(*groups, value, n, before, total)``: counted values with the position of their first in the sorted group.
+
+    This is the whole distribution of each group; every percentile can be read from it.
+    """
     groups = list(groups)
-    spark = counts.sparkSession
-    width = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    width = int(partitions or counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = counts.select(*groups, "value", "n").repartitionByRange(width, *groups, "value").sortWithinPartitions(*groups, "value")
     ordered = ordered.withColumn("part", F.spark_partition_id())
     schema = ", ".join([*(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in groups), "value double, n long, part int, upto long"])
@@ -83,17 +85,24 @@ def percentiles(counts: DataFrame, groups: Sequence[str], shares: Sequence[float
     by_group = W.partitionBy(*groups)
     offsets = held.select(
         *groups, "part",
-        (F.sum("held").over(by_group.orderBy("part")) - F.col("held")).alias("before"), F.sum("held").over(by_group).alias("total"),
+        (F.sum("held").over(by_group.orderBy("part")) - F.col("held")).alias("earlier"), F.sum("held").over(by_group).alias("total"),
     )
     offsets = materialise(offsets, "offsets")
     few = offsets.count() <= MOST_SENT
     on = reduce(Column.__and__, (ordered[c].eqNullSafe(offsets[c]) for c in [*groups, "part"]))
-    ranked = ordered.join(F.broadcast(offsets) if few else offsets, on).select(*(ordered[c] for c in groups), "value", "total", (F.col("before") + F.col("upto") - F.col("n")).alias("lo"), (F.col("before") + F.col("upto")).alias("hi"))
+    both = ordered.join(F.broadcast(offsets) if few else offsets, on)
+    return both.select(*(ordered[c] for c in groups), "value", "n", (F.col("earlier") + F.col("upto") - F.col("n")).alias("before"), "total")
+
+
+def percentiles(counts: DataFrame, groups: Sequence[str], shares: Sequence[float], partitions: int | None = None) -> DataFrame:
+    """Rows ``(*groups, n, share, percentile)``: exact percentiles of counted values, linear between neighbours."""
+    groups = list(groups)
+    values = ranked(counts, groups, partitions).withColumn("after", F.col("before") + F.col("n"))
     wanted = F.array(*(F.struct(F.lit(float(s)).alias("share"), ((F.col("total") - 1) * F.lit(float(s))).alias("at")) for s in shares))
-    # a counted value holds the positions lo .. hi - 1; a target needs those at floor(at) and floor(at) + 1
-    hit = F.filter(wanted, lambda t: (F.floor(t["at"]) >= F.col("lo") - 1) & (F.floor(t["at"]) < F.col("hi")))
-    found = ranked.select(*groups, "value", "total", "lo", "hi", F.explode(hit).alias("t")).select("*", F.floor("t.at").alias("pos"))
-    lower = F.max(F.when((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")), F.col("value")))
-    upper = F.max(F.when((F.col("pos") + 1 >= F.col("lo")) & (F.col("pos") + 1 < F.col("hi")), F.col("value")))
+    # a value holds the positions before .. after - 1; a target needs those at floor(at) and floor(at) + 1
+    hit = F.filter(wanted, lambda t: (F.floor(t["at"]) >= F.col("before") - 1) & (F.floor(t["at"]) < F.col("after")))
+    found = values.select(*groups, "value", "total", "before", "after", F.explode(hit).alias("t")).select("*", F.floor("t.at").alias("pos"))
+    holds = lambda pos: (pos >= F.col("before")) & (pos < F.col("after"))
+    lower, upper = (F.max(F.when(holds(F.col("pos") + step), F.col("value"))) for step in (0, 1))
     out = found.groupBy(*groups, F.col("total").alias("n"), F.col("t.share").alias("share")).agg(lower.alias("a"), upper.alias("b"), F.max(F.col("t.at") - F.col("pos")).alias("w"))
     return out.select(*groups, "n", "share", F.when(F.col("w") > 0, F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).otherwise(F.col("a")).alias("percentile"))

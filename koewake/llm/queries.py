@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from koewake.llm import history, lookalike, percentiles, quota_sample
+from koewake.llm import encode, history, leakage, lookalike, percentiles, quota_sample
 from koewake.functions.labels import clean_label, clean_label_sql
 from koewake.functions.paths import clean_dir, clean_dir_sql
 from koewake.plans.tables import load
@@ -42,6 +42,11 @@ def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.value_counts(rows, {"grouping": F.col("g.grouping"), "key": F.col("g.key")}, F.col("duration_ms"))
 
 
+def p3_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole distribution of durations per emotion and per directory: the form in which results combine."""
+    return percentiles.ranked(_durations(spark, sf_dir), ["grouping", "key"])
+
+
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = percentiles.percentiles(_durations(spark, sf_dir), ["grouping", "key"], SHARES)
     return out.select("grouping", "key", "n", "share", (F.floor(F.col("percentile") * 1024 + 0.5) / F.lit(1024.0)).alias("duration_ms"))
@@ -73,8 +78,28 @@ def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plans(spark, sf_dir)[0]
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode(load(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text does not come back from its ids: none."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    back = encode.decode(encode.encode(docs, "doc_id", "text"), "doc_id").withColumnRenamed("text", "decoded")
+    return docs.join(back, "doc_id").where(F.coalesce("text", F.lit("")) != F.col("decoded")).select("doc_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "eval_items"))
+
+
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p7_found, and passages with an edit in the run."""
+    return leakage.leaks(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "eval_items"), exact=False)
+
+
 def queries() -> dict[str, Query]:
-    all_of = (p1_found, p1_forms, p2_found, p3_percentiles, p3_combined_days, p4_found, p4_report, p4_sample)
+    all_of = (p1_found, p1_forms, p2_found, p3_ranks, p3_percentiles, p3_combined_days, p4_found, p4_report, p4_sample, p6_ids, p6_round_trip, p7_found, p7_near)
     return {f.__name__: f for f in all_of}
 
 
@@ -97,10 +122,12 @@ def _p4_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     positive = "FROM audio_cache WHERE duration_ms > 0"
     label, place = clean_label_sql("emotion_final"), clean_dir_sql("source_dir")
+    durations = f"SELECT 'emotion_final' AS grouping, {label} AS key, duration_ms {positive} UNION ALL SELECT 'source_dir', {place}, duration_ms {positive}"
     return {
-        "p3_percentiles": _shares_sql(
-            "grouping, key", f"SELECT 'emotion_final' AS grouping, {label} AS key, duration_ms {positive} UNION ALL SELECT 'source_dir', {place}, duration_ms {positive}", SHARES
-        ),
+        "p3_ranks": f"""
+            WITH c AS (SELECT grouping, key, duration_ms AS value, count(*) AS n FROM ({durations}) GROUP BY ALL)
+            SELECT *, sum(n) OVER (PARTITION BY grouping, key ORDER BY value) - n AS before, sum(n) OVER (PARTITION BY grouping, key) AS total FROM c""",
+        "p3_percentiles": _shares_sql("grouping, key", durations, SHARES),
         "p3_combined_days": _shares_sql("dir, month", f"SELECT {place} AS dir, strftime(created_at, '%Y-%m') AS month, duration_ms {positive}", (0.5, 0.9)),
         "p4_found": f"SELECT plan_id, emotion FROM ({_p4_sql()}) WHERE exhausted",
         "p4_report": _p4_sql(),
