@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from koewake.llm import encode, history, leakage, lookalike, percentiles, quota_sample
+from koewake.llm import encode, history, leakage, lookalike, percentiles, quality, quota_sample
 from koewake.functions.labels import clean_label, clean_label_sql
 from koewake.functions.paths import clean_dir, clean_dir_sql
 from koewake.plans.tables import load
@@ -98,8 +98,16 @@ def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "eval_items"), exact=False)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.statistics(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    all_of = (p1_found, p1_forms, p2_found, p3_ranks, p3_percentiles, p3_combined_days, p4_found, p4_report, p4_sample, p6_ids, p6_round_trip, p7_found, p7_near)
+    all_of = (p1_found, p1_forms, p2_found, p3_ranks, p3_percentiles, p3_combined_days, p4_found, p4_report, p4_sample, p6_ids, p6_round_trip, p7_found, p7_near, p8_found, p8_statistics)
     return {f.__name__: f for f in all_of}
 
 
@@ -126,7 +134,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_ranks": f"""
             WITH c AS (SELECT grouping, key, duration_ms AS value, count(*) AS n FROM ({durations}) GROUP BY ALL)
-            SELECT *, sum(n) OVER (PARTITION BY grouping, key ORDER BY value) - n AS before, sum(n) OVER (PARTITION BY grouping, key) AS total FROM c""",
+            SELECT *, CAST(sum(n) OVER (PARTITION BY grouping, key ORDER BY value) AS BIGINT) - n AS before, CAST(sum(n) OVER (PARTITION BY grouping, key) AS BIGINT) AS total FROM c""",
         "p3_percentiles": _shares_sql("grouping, key", durations, SHARES),
         "p3_combined_days": _shares_sql("dir, month", f"SELECT {place} AS dir, strftime(created_at, '%Y-%m') AS month, duration_ms {positive}", (0.5, 0.9)),
         "p4_found": f"SELECT plan_id, emotion FROM ({_p4_sql()}) WHERE exhausted",
