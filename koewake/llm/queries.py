@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from koewake.llm import encode, history, leakage, lookalike, percentiles, quality, quota_sample
+from koewake.llm import encode, history, langid, leakage, lookalike, percentiles, quality, quota_sample
 from koewake.functions.labels import clean_label, clean_label_sql
 from koewake.functions.paths import clean_dir, clean_dir_sql
 from koewake.plans.tables import load
@@ -78,6 +78,14 @@ def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plans(spark, sf_dir)[0]
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.wrong_labels(load(spark, sf_dir, "audio_cache", "id", "asr_text", "language"), "id", "asr_text", "language")
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_segments(load(spark, sf_dir, "audio_cache", "id", "asr_text", "language"), "id", "asr_text", "language")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(load(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -107,7 +115,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    all_of = (p1_found, p1_forms, p2_found, p3_ranks, p3_percentiles, p3_combined_days, p4_found, p4_report, p4_sample, p6_ids, p6_round_trip, p7_found, p7_near, p8_found, p8_statistics)
+    all_of = (p1_found, p1_forms, p2_found, p3_ranks, p3_percentiles, p3_combined_days, p4_found, p4_report, p4_sample, p5_found, p5_segments, p6_ids, p6_round_trip, p7_found, p7_near, p8_found, p8_statistics)
     return {f.__name__: f for f in all_of}
 
 
