@@ -45,12 +45,12 @@ def _lit(s: str) -> str:
 def _features(x: str) -> dict[str, str]:
     """SQL of the features of line ``x``."""
     words = sorted({w for ws in COMMON.values() for w in ws.split()})
-    common = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}])"
+    known = ", ".join(f"'{w}'" for w in words)
     cjk = f"regexp_count({x}, {_lit(_CJK)})"
     spaced = f"regexp_count(regexp_replace({x}, {_lit(_CJK + '+')}, ' '), {_lit(_SPACED)})"
     units = f"greatest({spaced} + {cjk} / 2.5D, 1D)"
     kana = f"({x} RLIKE {_lit('[ぁ-ゖ]')})"
-    func = f"(regexp_count(lower({x}), {_lit(common)}) + regexp_count({x}, {_lit(COMMON_KO)}) + CASE WHEN {kana} THEN regexp_count({x}, {_lit(COMMON_JA)}) ELSE regexp_count({x}, {_lit(COMMON_ZH)}) END)"
+    func = f"(size(filter(split(lower({x}), {_lit(r'[^\p{L}\p{M}\p{N}]+')}), w -> w IN ({known}))) + regexp_count({x}, {_lit(COMMON_KO)}) + CASE WHEN {kana} THEN regexp_count({x}, {_lit(COMMON_JA)}) ELSE regexp_count({x}, {_lit(COMMON_ZH)}) END)"
     size = f"greatest(length({x}), 1)"
     shown = _lit(r"[^\p{L}\p{M}\p{N}\s.,!?;:'()。、，．！？；：「」『』（）…・‥“”‘’«»¿¡ー〜～-]")
     return {
@@ -114,9 +114,11 @@ def learned_rules(spark: SparkSession, documents: int = 2400, seed: int = 7) ->
 def statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text", learned: list[rules.Rule] | None = None) -> DataFrame:
     """One row per row of ``df``: ``doc_id``, the statistics, ``prose_share`` and ``is_prose``."""
     learned = learned_rules(df.sparkSession) if learned is None else learned
-    lines = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("xs", F.expr(_lines("text")))
-    measured = lines.withColumn("fs", F.expr(f"transform({_WINDOWS}, w -> {_line_struct('w')})")).withColumn("own", F.expr("transform(xs, x -> CAST(length(x) AS DOUBLE))"))
-    judged = measured.withColumn("junk", F.expr(f"transform(fs, f -> {rules.to_sql(learned, 'f.')})"))
+    once = lambda e: f"explode(array({e}))"  # noqa: E731 - a generator is evaluated once, a projection would be repeated wherever it is used
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    lines = docs.selectExpr("doc_id", "text", f"{once(_lines('coalesce(text, {empty})'.format(empty=repr(''))))} AS xs")
+    measured = lines.selectExpr("doc_id", "text", "xs", f"{once(f'transform({_WINDOWS}, w -> {_line_struct(chr(119))})')} AS fs")
+    judged = measured.selectExpr("*", f"transform(fs, f -> {rules.to_sql(learned, 'f.')}) AS junk", "transform(xs, x -> CAST(length(x) AS DOUBLE)) AS own")
     total = lambda what: f"aggregate(fs, 0D, (a, f) -> a + {what})"
     n = "aggregate(own, 0D, (a, v) -> a + v)"
     mean = lambda what: f"{total(f'{what} * f.signs')} / greatest({total('f.signs')}, 1D)"
