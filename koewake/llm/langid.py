@@ -66,10 +66,12 @@ _INNER = regex.compile(r"[「『(\"“]([^「『(\"“」』)\"”]*[.!?。！
 def named_language(label: Column) -> Column:
     """The language that a label names, by code or name, also with a region; null where it names none."""
     base = F.regexp_extract(clean_label(label), r"^([^-_]+)", 1)
-    out = F.lit(None).cast("string")
-    for lang, words in CALLED.items():
-        out = F.when(base.isin(*words.split()), lang).otherwise(out)
-    return out
+    return F.try_element_at(_lookup({w: lang for lang, words in CALLED.items() for w in words.split()}), base)
+
+
+def _lookup(table: dict) -> Column:
+    """A map literal: its key is worked out once, a chain of conditions would work it out for each."""
+    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
 
 
 def plain(text: str) -> str:
@@ -214,9 +216,10 @@ def labelled_sample(df: DataFrame, id_col: str, text: str, label: str, most: int
     counts = {r["script"]: r["count"] for r in src.groupBy("script").count().collect()}  # 16 kinds at most
     only_latin = "falsefalsefalsetrue"
     share = lambda s: most // 2 if s == only_latin else most // 12
-    keep = F.lit(False)
-    for s, n in counts.items():
-        keep = keep | ((F.col("script") == s) & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(min(1.0, share(s) / n) * 1_000_000)))
+    if not counts:
+        return []
+    bound = _lookup({s: int(min(1.0, share(s) / n) * 1_000_000) for s, n in counts.items()})
+    keep = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < F.try_element_at(bound, F.col("script"))
     rows = src.where(keep).select("text", "lang", F.xxhash64("id", F.lit(6)).alias("o")).limit(most).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: r["o"])]
 
