@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from koewake import schema as S
+from koewake.session import materialise
 
 KEY = ["file_name", "file_hash"]
 
@@ -44,12 +45,15 @@ def upsert_pending(cache: DataFrame, incoming: DataFrame, now: Column | None = N
 
 
 def _with_ids(rows: DataFrame) -> DataFrame:
-    """Fills null ids after the highest one, in the order of path and key, by a range-partitioned sort."""
-    spark = rows.sparkSession
+    """Fills null ids after the highest one, in the order of path and key: a distributed sort, and counts of its partitions."""
     top = rows.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     new = rows.where("id IS NULL").select(*KEY, "file_path").repartitionByRange("file_path", *KEY).sortWithinPartitions("file_path", *KEY)
-    numbered = spark.createDataFrame(new.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1])), "file_name string, file_hash string, _i long")
-    return rows.join(numbered, KEY, "left").withColumn("id", F.coalesce("id", F.col("_i") + F.lit(top + 1))).drop("_i")
+    new = materialise(new.select(*KEY, F.monotonically_increasing_id().alias("_at")), "new-ids")  # partition and place in it
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    held = new.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_held"))
+    offsets = held.select("_part", (F.sum("_held").over(W.orderBy("_part")) - F.col("_held")).alias("_before"))  # a row for each partition
+    numbered = new.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(*KEY, (F.col("_before") + place + F.lit(top + 1)).alias("_id"))
+    return rows.join(numbered, KEY, "left").withColumn("id", F.coalesce("id", "_id")).drop("_id")
 
 
 def mark_processing(cache: DataFrame, keys: DataFrame, now: Column | None = None) -> DataFrame:

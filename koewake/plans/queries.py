@@ -264,8 +264,8 @@ def scan_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten warnings by name, and how many are left."""
     every = scan.warnings(_manifest(spark, sf_dir))
-    left = every.agg(F.greatest(F.count(F.lit(1)) - 10, F.lit(0)).alias("left"))
-    return every.orderBy("file_name", "warning").limit(10).crossJoin(F.broadcast(left))
+    left = max(0, every.count() - 10)
+    return every.orderBy("file_name", "warning").limit(10).withColumn("left", F.lit(left).cast("long"))
 
 
 @query
