@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from koewake.session import ship
+from koewake.session import ship, spread
 
 #: Where the vocabulary files of the public tokenizers lie; a parameter of every function here.
 RANKS = os.environ.get("KOEWAKE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -71,7 +71,7 @@ def decode_ids(ids: list[int] | None, ranks: str = RANKS) -> str:
 def encode(df: DataFrame, id_col: str, text: str, ranks: str = RANKS) -> DataFrame:
     """``(id_col, ids)``: one row for every row of ``df``, in no order; a map without shuffle."""
     ship(df.sparkSession)
-    src = df.select(id_col, F.col(text).alias("text"))
+    src = spread(df.select(id_col, F.col(text).alias("text")))
     kind = src.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from koewake.functions.labels import clean_label
 from koewake.llm.lookalike import DRAWN_ALIKE
 from koewake.llm.quality_samples import NAMES as PEOPLE
 from koewake.llm.quality_samples import SENTENCES
-from koewake.session import ship
+from koewake.session import ship, spread
 
 LANGS = ("ja", "en", "zh", "ko", "de", "fr", "es")
 #: Codes and names of the languages.
@@ -266,7 +266,7 @@ def read_languages(df: DataFrame, id_col: str, text: str, net: ByteNet, keep: li
     """Rows ``(id, *keep, langs, segments)`` of all rows whose text has letters."""
     ship(df.sparkSession)
     keep = keep or []
-    src = df.select(F.col(id_col).alias("id"), *keep, F.col(text).alias("text")).where(F.length("text") > 0)
+    src = spread(df.select(F.col(id_col).alias("id"), *keep, F.col(text).alias("text")).where(F.length("text") > 0))
     piece = pa.struct([("segment", pa.string()), ("lang", pa.string()), ("confidence", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

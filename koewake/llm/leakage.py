@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from koewake.session import ship
+from koewake.session import ship, spread
 
 #: Languages that are written with blanks between words are measured in words, these in letters.
 BY_LETTER = ("ja", "zh")
@@ -193,7 +193,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     held = items.select(item_id, text, "lang").limit(MOST_ITEMS + 1).collect()
     if len(held) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} items")
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    src = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0))
     given = [tuple(r) for r in held]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

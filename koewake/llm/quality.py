@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from koewake.llm import rules
 from koewake.llm.quality_samples import labelled_documents
+from koewake.session import spread
 
 #: Common words of running text. Articles, and words of place that lists also have, are left out.
 COMMON = {
@@ -115,7 +116,7 @@ def statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text", learne
     """One row per row of ``df``: ``doc_id``, the statistics, ``prose_share`` and ``is_prose``."""
     learned = learned_rules(df.sparkSession) if learned is None else learned
     once = lambda e: f"explode(array({e}))"  # noqa: E731 - a generator is evaluated once, a projection would be repeated wherever it is used
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = spread(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     lines = docs.selectExpr("doc_id", "text", f"{once(_lines('coalesce(text, {empty})'.format(empty=repr(''))))} AS xs")
     measured = lines.selectExpr("doc_id", "text", "xs", f"{once(f'transform({_WINDOWS}, w -> {_line_struct(chr(119))})')} AS fs")
     judged = measured.selectExpr("*", f"transform(fs, f -> {rules.to_sql(learned, 'f.')}) AS junk", "transform(xs, x -> CAST(length(x) AS DOUBLE)) AS own")
