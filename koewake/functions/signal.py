@@ -6,12 +6,19 @@ result that is stated with each function.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from koewake import schema as S
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _peak(pcm: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(pcm, F.abs)), F.when(pcm.isNotNull(), 0))
 
@@ -133,22 +140,25 @@ def _scaled(pcm: Column, gain: Column) -> Column:
 def loudness_gain(pcm: Column) -> Column:
     """The gain to the target peak; null where none is applied: silent, empty, or loud enough already."""
     gain = F.lit(S.PEAK_TARGET * 32767) / F.nullif(_peak(pcm), F.lit(0)).cast("double")
-    return F.when(~gain.between(0.95, 1.05), gain)
+    return _let(gain, lambda g: F.when(~g.between(0.95, 1.05), g))
+
+
+def _gained(pcm: Column, gain: Callable[[Column], Column]) -> Column:
+    """The signal by a gain that is worked out from it; as it is where there is none."""
+    return _let(pcm, lambda p: _let(gain(p), lambda g: F.when(g.isNull(), p).otherwise(_scaled(p, g))))
 
 
 def loudness(pcm: Column) -> Column:
-    gain = loudness_gain(pcm)
-    return F.when(gain.isNull(), pcm).otherwise(_scaled(pcm, gain))
+    return _gained(pcm, loudness_gain)
 
 
 def declip_gain(pcm: Column) -> Column:
     """The gain that brings clipped signals down; null where the peak is below the limit."""
-    return F.when(_peak(pcm) >= S.CLIPPED_PEAK, F.lit(S.DECLIP_TARGET * 32767) / _peak(pcm).cast("double"))
+    return _let(_peak(pcm), lambda top: F.when(top >= S.CLIPPED_PEAK, F.lit(S.DECLIP_TARGET * 32767) / top.cast("double")))
 
 
 def declip(pcm: Column) -> Column:
-    gain = declip_gain(pcm)
-    return F.when(gain.isNull(), pcm).otherwise(_scaled(pcm, gain))
+    return _gained(pcm, declip_gain)
 
 
 def auto_fix(pcm: Column, rate: int) -> Column:

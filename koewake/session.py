@@ -77,6 +77,12 @@ def _quietly_drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small input has fewer partitions; a larger one is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once per application, so that Python workers can import it."""
     app = spark.sparkContext.applicationId
