@@ -6,6 +6,7 @@ import math
 import os
 import threading
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,10 +67,14 @@ class Engine:
 
     # changes
 
+    @contextmanager
     def _alone(self):
         if not self._lock.acquire(blocking=False):
             raise Busy("a task is running")
-        return self._lock
+        try:
+            yield
+        finally:
+            self._lock.release()
 
     def _tell(self, what: str, done: int, total: int) -> None:
         if self.progress:
@@ -85,8 +90,7 @@ class Engine:
 
     def process(self, directory: str, fix: bool = False, concurrency: int = 3, then_export: str = "", speaker: str = "heroine", language: str = "ja") -> DataFrame:
         """Scans, repairs if asked, recognises what is pending, normalises, filters, and exports if asked."""
-        lock = self._alone()
-        try:
+        with self._alone():
             self._tell("scan", 0, 4)
             self.scan(directory)
             if fix:
@@ -102,8 +106,6 @@ class Engine:
                 self.export(then_export, directory, speaker, language)
             self._tell("done", 4, 4)
             return self.stats(directory)
-        finally:
-            lock.release()
 
     def _contents(self, keyed: DataFrame) -> DataFrame:
         """Bytes and issues of the files of rows with ``file_path``, read by directory."""
@@ -125,7 +127,7 @@ class Engine:
         """Repaired copies of a directory's WAV files under ``home/fixed``; the cache follows to their names and hashes."""
         files = audio_files.listing(self.spark, directory)
         files = repair.wav_only(files.select(F.regexp_replace("path", r"^file:(?://)?(?=/)", "").alias("file_path"), "content"))
-        out = self.store.spark and repair.repair(files, os.path.join(self.home, "fixed")).persist()
+        out = repair.repair(files, os.path.join(self.home, "fixed")).persist()
         hashed = files.select("file_path", F.md5("content").alias("file_hash"), F.regexp_extract("file_path", r"([^/]+)$", 1).alias("file_name"))
         renames = out.where("any_fixed").join(hashed, "file_path").select("file_name", "file_hash", "new_name", "new_hash", "new_path").dropDuplicates(C.KEY)
         self.store.write(C.rename(self.store.read(), renames))
