@@ -2,31 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from koewake.session import materialise
+
 #: Rows of a key beyond which its rows are spread over several tasks.
 HOT = 20_000
+#: Parts that the rows of every key are cut into where they meet a table of keys.
+SALTS = 16
+
+
+def _salted(rows: DataFrame, keyed: DataFrame, keys: list[str], id_col: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the fewer rows of ``keyed``, no task getting more than a part of a key's rows."""
+    a = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    b = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
+def with_several(rows: DataFrame, keys: list[str], id_col: str, variant: str) -> DataFrame:
+    """Rows of keys that have more than one value of ``variant``."""
+    several = rows.groupBy(*keys).agg(F.min(variant).alias("lo"), F.max(variant).alias("hi")).where("lo <> hi").select(*keys)
+    return _salted(rows, several, keys, id_col, "left_semi")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")]
+
+
+def pairs_of_variants(rows: DataFrame, keys: list[str], id_col: str, variant: str, hot: int = HOT) -> DataFrame:
+    """All ``(id_a, id_b)``, ``id_a < id_b``, of rows with equal ``keys`` and different ``variant``.
+
+    Variants are paired first and then their rows, so a variant that fills a key is never compared with itself. The
+    rows of the larger variant are cut into blocks of ``hot``, those of the smaller go to each. Null keys and variants
+    make no pairs. ``rows`` must be cheap to read several times.
+    """
+    known = rows.select(*keys, F.col(variant).alias("x"), F.col(id_col).alias("id"))
+    sizes = known.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
+    one, two = (sizes.withColumnRenamed("x", f"x_{s}").withColumnRenamed("n", f"n_{s}") for s in "ab")
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("x_a") < F.col("x_b")))
+    meet = materialise(one.join(two, keys).where(larger).select(*keys, "x_a", "x_b", F.ceil(F.col("n_a") / hot).cast("int").alias("blocks")), "variants")
+    a = _salted(known, meet.withColumnRenamed("x_a", "x"), [*keys, "x"], "id").withColumnRenamed("x", "x_a").withColumnRenamed("id", "id_1")
+    b = _salted(known, meet.withColumnRenamed("x_b", "x"), [*keys, "x"], "id").withColumnRenamed("x", "x_b").withColumnRenamed("id", "id_2")
+    a = a.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id_1"), F.col("blocks")).cast("int")).drop("blocks")
+    b = b.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return a.join(b, [*keys, "x_a", "x_b", "block"]).select(*_ordered("id_1", "id_2"))
 
 
-def pairs_within(rows: DataFrame, keys: list[str], id_col: str, differ: str | None = None, fresh: str | None = None, hot: int = HOT) -> DataFrame:
+def pairs_within(rows: DataFrame, keys: list[str], id_col: str, fresh: str | None = None, hot: int = HOT) -> DataFrame:
     """All ``(id_a, id_b)``, ``id_a < id_b``, of rows with equal ``keys``.
 
-    ``differ``: only where that column differs. ``fresh``: only pairs of which at least one row is true in that column.
-    ``rows`` must be cheap to read twice. Rows of a key with more than ``hot`` rows are cut into blocks, and the other
-    side of the pairs goes to every block, so no task holds the whole key. Null keys make no pairs.
+    ``fresh``: only pairs of which at least one row is true in that column. ``rows`` must be cheap to read twice. Rows
+    of a key with more than ``hot`` rows are cut into blocks, and the other side of the pairs goes to every block, so
+    no task pairs a whole key. Null keys make no pairs.
     """
-    known = rows.select(*keys, F.col(id_col).alias("id"), (F.col(fresh) if fresh else F.lit(True)).alias("fresh"), *([F.col(differ).alias("x")] if differ else []))
+    known = rows.select(*keys, F.col(id_col).alias("id"), (F.col(fresh) if fresh else F.lit(True)).alias("fresh"))
     spread = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("any")).where((F.col("n") > 1) & F.col("any"))
     known = known.join(spread.select(*keys, F.ceil(F.col("n") / hot).cast("int").alias("blocks")), keys)
-    a = known.where("fresh").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "fresh")
-    b = known.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    for c in ["id", *(["x"] if differ else [])]:
-        a, b = a.withColumnRenamed(c, c + "_a"), b.withColumnRenamed(c, c + "_b")
-    once = (F.col("id_a") < F.col("id_b")) | (~F.col("fresh") & (F.col("id_a") != F.col("id_b")))
-    out = a.join(b, [*keys, "block"]).where(once)
-    if differ:
-        out = out.where(~F.col("x_a").eqNullSafe(F.col("x_b")))
-    if not fresh:
-        return out.select("id_a", "id_b")
-    return out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    a = known.where("fresh").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "fresh").withColumnRenamed("id", "id_1")
+    b = known.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks").withColumnRenamed("id", "id_2")
+    once = (F.col("id_1") < F.col("id_2")) | (~F.col("fresh") & (F.col("id_1") != F.col("id_2")))
+    return a.join(b, [*keys, "block"]).where(once).select(*_ordered("id_1", "id_2"))
