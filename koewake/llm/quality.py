@@ -26,6 +26,8 @@ COMMON = {
     "fr": "alors après avait avaient avant avec avons bien car ce cela ces comme depuis donc dont elle elles encore est et était été être fait il ils je jusqu là leur leurs lui mais même ne nous on ont ou où par parce pas pendant personne peu plus pour pourquoi puis qu quand que qui reste s sans sera si son sont tout toute très tu va vous y",
     "es": "ahora antes aquí aunque cada como con cuando de del desde donde durante ella ellos entre era es eso esta estaba estado está están este esto fue ha había habían han hasta hay hemos junto le les lo más me mi mientras muy nada nadie ni no nos o para pero por porque pues que qué quien se sea ser si sin son su sus también tan todavía todo tras tu uno y ya",
 }
+#: Articles of any of the languages, as a common word of one is the article of another.
+ARTICLES = "a an the der die das den dem des ein eine einen einem einer le la les l d de du un une el los las una unos unas del"
 #: Endings and particles of running Korean; particles and endings of Japanese and Chinese.
 COMMON_KO = r"\p{IsHangul}+(?:니다|세요|어요|아요|해요|예요|지요|까요|었다|았다|했다|이다|지만|으면|라면|는데|에서|에게|으로|때문에|기로|도록|면서|거나|고|를|을|는|와의|때도|어도|지|서)(?![\p{IsHangul}])|\p{IsHangul}+(?=[.?!])"
 COMMON_JA = r"ました|ません|ます|です|でした|ている|ていた|った|ので|から|けど|ない|なら|して|って|という|ください|は|を|が|に|で|も|よ|ね|と"
@@ -35,7 +37,7 @@ NAMES = ["common", "symbols", "digits", "ends", "word_len", "marker", "stops"]
 #: The end of a sentence: a letter, then a full stop, but no file type or number.
 STOP = r"[\p{L}\p{M}][\"”’')»]?[.!?…]+[\"”’')»]*(?=\s|$)|[。！？]"
 CLOSING = r"[.!?。！？…．]+[\p{Pe}\p{Pf}\p{Pi}\"']*\s*$"
-_SPACED = r"[\p{L}\p{M}\p{N}']+"
+_NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
 _CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]"
 
 
@@ -43,29 +45,45 @@ def _lit(s: str) -> str:
     return "r'" + s.replace("'", "\\x{27}") + "'"
 
 
-def _features(x: str) -> dict[str, str]:
-    """SQL of the features of line ``x``."""
-    words = sorted({w for ws in COMMON.values() for w in ws.split()})
+def _counts(x: str) -> dict[str, str]:
+    """SQL of what is counted in line ``x``, each once."""
+    words = sorted({w for ws in COMMON.values() for w in ws.split()} - set(ARTICLES.split()))
     known = ", ".join(f"'{w}'" for w in words)
-    cjk = f"regexp_count({x}, {_lit(_CJK)})"
-    spaced = f"regexp_count(regexp_replace({x}, {_lit(_CJK + '+')}, ' '), {_lit(_SPACED)})"
-    units = f"greatest({spaced} + {cjk} / 2.5D, 1D)"
-    kana = f"({x} RLIKE {_lit('[ぁ-ゖ]')})"
-    func = f"(size(filter(split(lower({x}), {_lit(r'[^\p{L}\p{M}\p{N}]+')}), w -> w IN ({known}))) + regexp_count({x}, {_lit(COMMON_KO)}) + CASE WHEN {kana} THEN regexp_count({x}, {_lit(COMMON_JA)}) ELSE regexp_count({x}, {_lit(COMMON_ZH)}) END)"
-    size = f"greatest(length({x}), 1)"
+    split = f"filter(split(lower(regexp_replace({x}, {_lit(_CJK + '+')}, ' ')), {_lit(_NO_WORD)}), w -> length(w) > 0)"
+    korean = f"CASE WHEN {x} RLIKE {_lit(r'[가-힣]')} THEN regexp_count({x}, {_lit(COMMON_KO)}) ELSE 0 END"
+    kana = f"CASE WHEN {x} RLIKE {_lit('[ぁ-ゖ]')} THEN regexp_count({x}, {_lit(COMMON_JA)}) WHEN {x} RLIKE {_lit(r'[一-鿿]')} THEN regexp_count({x}, {_lit(COMMON_ZH)}) ELSE 0 END"
     shown = _lit(r"[^\p{L}\p{M}\p{N}\s.,!?;:'()。、，．！？；：「」『』（）…・‥“”‘’«»¿¡ー〜～-]")
     return {
-        "common": f"{func} / {units}",
-        "symbols": f"regexp_count({x}, {shown}) / {size}",
-        "digits": f"regexp_count({x}, '[0-9０-９]') / {size}",
-        "signs": f"CAST(length({x}) AS DOUBLE)",
-        "ends": f"CAST(CAST({x} RLIKE {_lit(CLOSING)} AS INT) AS DOUBLE)",
-        "word_len": f"regexp_count({x}, {_lit(r'[^\s]')}) / {units}",
-        "stops": f"regexp_count({x}, {_lit(STOP)}) / {units}",
-        "marker": f"CAST(CAST({x} RLIKE {_lit(r'^(?:[-*•・+#]|[(\[]?[0-9x ]{1,4}[.)\]])\s')} AS INT) AS DOUBLE)",
+        "words": f"transform(array({split}), ws -> named_struct('n', size(ws), 'known', size(filter(ws, w -> w IN ({known})))))[0]",
+        "cjk": f"CASE WHEN {x} RLIKE {_lit(_CJK)} THEN regexp_count({x}, {_lit(_CJK)}) ELSE 0 END",
+        "particles": f"{korean} + {kana}",
+        "symbols": f"regexp_count({x}, {shown})",
+        "digits": f"regexp_count({x}, '[0-9０-９]')",
+        "signs": f"length({x})",
+        "ends": f"CAST({x} RLIKE {_lit(CLOSING)} AS INT)",
+        "inked": f"length(replace({x}, ' ', ''))",
+        "marker": f"CAST({x} RLIKE {_lit(r'^(?:[-*•・+#]|[(\[]?[0-9x ]{1,4}[.)\]])\s')} AS INT)",
+        "stops": f"regexp_count({x}, {_lit(STOP)})",
     }
 
 
+def _line_struct(x: str) -> str:
+    """SQL of the features of line ``x``; what several of them need is bound first, so it is worked out once."""
+    counts = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in _counts(x).items()) + ")"
+    size, units = "greatest(c.signs, 1)", "greatest(c.words.n + c.cjk / 2.5D, 1D)"
+    features = {
+        "common": f"(c.words.known + c.particles) / {units}",
+        "symbols": f"c.symbols / {size}",
+        "digits": f"c.digits / {size}",
+        "signs": "c.signs",
+        "ends": "c.ends",
+        "word_len": f"c.inked / {units}",
+        "marker": "c.marker",
+        "stops": f"c.stops / {units}",
+    }
+    return f"transform(array({counts}), c -> named_struct(" + ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in features.items()) + "))[0]"
+
+
 #: Blanks that Java's patterns don't count as such.
 BLANKS = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
@@ -88,10 +106,6 @@ _WINDOWS = (
 )
 
 
-def _line_struct(x: str) -> str:
-    return "named_struct(" + ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in _features(x).items()) + ")"
-
-
 _LEARNED: dict[tuple[int, int], list[rules.Rule]] = {}
 
 
@@ -103,12 +117,23 @@ def line_features(spark: SparkSession, documents: list[tuple[list[str], bool]])
     return got[NAMES].to_numpy(float), got["prose"].to_numpy(bool)
 
 
-def learned_rules(spark: SparkSession, documents: int = 2400, seed: int = 7) -> list[rules.Rule]:
-    """Rules that hold for lines that are no running prose. ``documents`` bounds the labelled documents."""
+def learned_rules(spark: SparkSession, documents: int = 2400, seed: int = 7, tries: int = 5) -> list[rules.Rule]:
+    """Rules that hold for lines that are no running prose. ``documents`` bounds the labelled documents.
+
+    Of ``tries`` rule lists, grown and pruned on other parts of them, the one that is least wrong on as many unseen
+    lines is taken; prose that is called junk counts three times.
+    """
     key = (documents, seed)
     if key not in _LEARNED:
         x, y = line_features(spark, labelled_documents(documents, seed))
-        _LEARNED[key] = rules.induce(x, ~y, NAMES)
+        unseen, prose = line_features(spark, labelled_documents(documents // 2, seed + 1))
+        lists = [rules.induce(x, ~y, NAMES, seed=k) for k in range(tries)]
+
+        def wrong(r: list[rules.Rule]) -> int:
+            junk = rules.predict(r, unseen, NAMES)
+            return 3 * int((junk & prose).sum()) + int((~junk & ~prose).sum())
+
+        _LEARNED[key] = min(lists, key=wrong)
     return _LEARNED[key]
 
 

@@ -156,6 +156,7 @@ def _junk(r: random.Random, lang: str) -> list[str]:
         lambda: [r.choice([" ", ", ", "、", " / ", " | ", "; ", " - "]).join(pick() for _ in range(r.randint(3, 50)))],
         lambda: [r.choice(["ー", "笑", "哈", "w", "=", "あ", "ㅋ", "x", "。"][:8]) * r.randint(4, 150) for _ in range(r.randint(1, 3))],
         lambda: [pick() for _ in range(r.randint(2, 40))],
+        lambda: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ;") for _ in range(r.randint(20, 400)))],
         lambda: [r.choice(code) for _ in range(n)],
         lambda: [f"{word()}_{word()}_{r.randint(1, 99999):05d}.{r.choice(['wav', 'flac', 'txt'])}" for _ in range(n)],
         lambda: [f"https://example.org/{word()}/{word()}?{word()}={r.randint(1, 99)}" for _ in range(n)],

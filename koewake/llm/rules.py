@@ -75,8 +75,11 @@ def _prune(rule: Rule, x: np.ndarray, y: np.ndarray, names: list[str], cost: flo
     return best, float(best_error)
 
 
-def induce(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 0, most_rules: int = 16, most_conditions: int = 5, error: float = 0.2, cost: float = 12.0) -> list[Rule]:
-    """Rules for the true rows of ``y``, in order; what none of them covers is false."""
+def induce(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 0, most_rules: int = 16, most_conditions: int = 5, error: float = 0.2, cost: float = 12.0, least: int = 15) -> list[Rule]:
+    """Rules for the true rows of ``y``, in order; what none of them covers is false.
+
+    It ends at a rule that is wrong too often, or right for fewer than ``least`` of the rows it is pruned on.
+    """
     rng = np.random.default_rng(seed)
     x, y = np.asarray(x, float), np.asarray(y, bool)
     rules: list[Rule] = []
@@ -91,7 +94,7 @@ def induce(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 0, most_r
         if not rule:
             break
         rule, wrong = _prune(rule, x[prune], y[prune], names, cost)
-        if wrong > error:
+        if wrong > error or (_covers(rule, x[prune], names) & y[prune]).sum() < least:
             break
         rules.append(rule)
         left &= ~_covers(rule, x, names)
