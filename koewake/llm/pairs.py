@@ -17,7 +17,7 @@ def _salted(rows: DataFrame, keyed: DataFrame, keys: list[str], id_col: str, how
     """``rows`` joined with the fewer rows of ``keyed``, no task getting more than a part of a key's rows."""
     a = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
     b = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+    return a.join(b.hint("merge"), [*keys, "_salt"], how).drop("_salt")  # its size is known before it is repeated only: never broadcast
 
 
 def with_several(rows: DataFrame, keys: list[str], id_col: str, variant: str) -> DataFrame:
@@ -46,7 +46,7 @@ def pairs_of_variants(rows: DataFrame, keys: list[str], id_col: str, variant: st
     b = _salted(known, meet.withColumnRenamed("x_b", "x"), [*keys, "x"], "id").withColumnRenamed("x", "x_b").withColumnRenamed("id", "id_2")
     a = a.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id_1"), F.col("blocks")).cast("int")).drop("blocks")
     b = b.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    return a.join(b, [*keys, "x_a", "x_b", "block"]).select(*_ordered("id_1", "id_2"))
+    return a.join(b.hint("merge"), [*keys, "x_a", "x_b", "block"]).select(*_ordered("id_1", "id_2"))
 
 
 def pairs_within(rows: DataFrame, keys: list[str], id_col: str, fresh: str | None = None, hot: int = HOT) -> DataFrame:
