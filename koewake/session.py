@@ -78,8 +78,13 @@ def _quietly_drop(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a small input has fewer partitions; a larger one is left as it is read."""
+    """Rows over all cores where a small input has fewer partitions; a larger one is left as it is read.
+
+    What comes from a shuffle is left alone: its partitions are known only when it has run.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
