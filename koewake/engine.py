@@ -113,7 +113,7 @@ class Engine:
         dirs = [d for d in dirs if os.path.isdir(d) or "://" in d]
         if not dirs:
             return keyed.select(*C.KEY, "file_path").limit(0).withColumns({"content": F.lit(None).cast("binary"), "issues": F.array().cast("array<string>")})
-        files = self.spark.read.format("binaryFile").load(dirs)
+        files = audio_files.bounded(self.spark.read.format("binaryFile").load(dirs))
         files = files.select(F.regexp_replace("path", r"^file:(?://)?(?=/)", "").alias("file_path"), "content")
         checked = audio_files.wav.probe(files).withColumns(audio_files.wav.verdict()).select("file_path", "issues")
         return keyed.join(files, "file_path").join(checked, "file_path").select(*C.KEY, "file_path", "content", "issues")

@@ -1,6 +1,6 @@
 """Recognition of recordings by a pluggable function, on the executors.
 
-A transcriber gets the path and bytes of one recording and returns ``{text, emotion, language, error}``. It is called
+A transcriber gets the path and bytes of one recording (no bytes above ``audio_files.MOST_BYTES``) and returns ``{text, emotion, language, error}``. It is called
 from partitions: their number bounds how many calls run at once, and results are written before anything else reads
 them, so a retried stage repeats only calls whose results were lost.
 """

@@ -11,20 +11,25 @@ from koewake.functions.paths import clean_dir
 from koewake.operators.scan import is_audio
 from koewake.sources import wav
 
-#: Larger files are listed without content; clips are far smaller.
+#: Larger files are listed without content, and hashed and measured by path; clips are far smaller.
 MOST_BYTES = 512 << 20
 FILE_SCHEMA = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()), StructField("length", LongType()), StructField("content", BinaryType())])
 
 
+def bounded(files: DataFrame) -> DataFrame:
+    """Files with their content, null above ``MOST_BYTES``: of those no byte is read here."""
+    large = files.drop("content").where(F.col("length") > MOST_BYTES).withColumn("content", F.lit(None).cast("binary"))
+    return files.where(F.col("length") <= MOST_BYTES).unionByName(large)
+
+
 def listing(spark: SparkSession, directory: str, with_content: bool = True) -> DataFrame:
     """The audio files directly in a directory: ``path, modificationTime, length`` and their content."""
-    files = spark.read.format("binaryFile").load(directory)
-    files = files.where(is_audio(F.col("path")) & (F.col("length") <= MOST_BYTES))
-    return files if with_content else files.drop("content")
+    files = spark.read.format("binaryFile").load(directory).where(is_audio(F.col("path")))
+    return bounded(files) if with_content else files.drop("content")
 
 
 def as_manifest(files: DataFrame) -> DataFrame:
-    """Files with content as rows of a manifest, hashed and probed in one pass over their bytes."""
+    """Files as rows of a manifest, hashed and probed in one pass over their bytes; those without content by path."""
     plain = F.regexp_replace(F.col("path"), r"^file:(?://)?(?=/)", "")
     keyed = files.select(plain.alias("file_path"), F.col("length").alias("file_size"), F.md5("content").alias("file_hash"), "content")
     probed = wav.probe(keyed)

@@ -6,13 +6,16 @@ null figures, and never fails the job.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import wave
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from koewake import schema as S
 from koewake.functions.numbers import whole
 from koewake.session import ship
 
+#: Frames, or bytes, of a large file that are held at a time.
+CHUNK = 1 << 20
 FIGURES = "readable boolean, sample_rate int, channels int, frames long, duration_ms double, peak long, sum_squares long, clipped long, silent long"
 
 
@@ -46,16 +51,51 @@ def wav_bytes(samples: np.ndarray, rate: int = S.SAMPLE_RATE) -> bytes:
 
 
 def figures(content: bytes | None) -> tuple:
+    return (False, *[None] * 8) if content is None else figures_of(io.BytesIO(content))
+
+
+def figures_of(file: BinaryIO) -> tuple:
+    """The figures of an open file, of which ``CHUNK`` frames are held at a time."""
+    n = peak = squares = clipped = silent = 0
     try:
-        rate, channels, x = read_pcm(content)
+        with wave.open(file, "rb") as w:
+            rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
+            if width != 2 or channels < 1 or rate < 1:
+                raise wave.Error("not 16-bit PCM")
+            while data := w.readframes(CHUNK):
+                x = np.frombuffer(data, "<i2")
+                x = x[: len(x) // channels * channels].reshape(-1, channels).astype(np.int64).sum(axis=1) // channels
+                a = np.abs(x)
+                n, peak, squares = n + len(x), max(peak, int(a.max(initial=0))), squares + int((x * x).sum())
+                clipped, silent = clipped + int((a >= S.CLIP_LEVEL).sum()), silent + int((a < S.SILENT_LEVEL).sum())
     except (wave.Error, EOFError, struct.error, TypeError, ValueError):
         return (False, *[None] * 8)
-    a = np.abs(x)
-    return (True, rate, channels, len(x), len(x) / rate * 1000, int(a.max(initial=0)), int((x * x).sum()), int((a >= S.CLIP_LEVEL).sum()), int((a < S.SILENT_LEVEL).sum()))
+    return (True, rate, channels, n, n / rate * 1000, peak, squares, clipped, silent)
+
+
+def opened(path: str) -> BinaryIO:
+    """A local file, or one on a file system that Arrow knows."""
+    if "://" not in path:
+        return open(path.removeprefix("file:"), "rb")
+    system, inside = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inside)
+
+
+def _by_path(path: str) -> tuple[str, tuple]:
+    """Hash and figures of a file that is too large to be held."""
+    with opened(path) as f:
+        md5 = hashlib.md5()
+        while data := f.read(CHUNK):
+            md5.update(data)
+        f.seek(0)
+        return md5.hexdigest(), figures_of(f)
 
 
 def probe(files: DataFrame) -> DataFrame:
-    """Files with ``path`` and ``content``: every other column, and the figures of each, without the content."""
+    """Files with ``content``: every other column, and the figures of each, without the content.
+
+    Files without content are read by their ``file_path``, if there is one, and get their ``file_hash`` too.
+    """
     ship(files.sparkSession)
     kept = [c for c in files.columns if c != "content"]
     src = files.select(*kept, "content")
@@ -64,9 +104,17 @@ def probe(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [figures(x.as_py()) for x in b.column(len(kept))]
+            content, own = b.column(len(kept)), list(b.columns[:-1])
+            large = {}
+            if content.null_count and "file_path" in kept:
+                paths = own[kept.index("file_path")]
+                large = {i: _by_path(paths[i].as_py()) for i, x in enumerate(content) if not x.is_valid and paths[i].is_valid}
+            if large and "file_hash" in kept:
+                at = kept.index("file_hash")
+                own[at] = pa.array([large[i][0] if i in large else h for i, h in enumerate(own[at].to_pylist())], pa.string())
+            rows = [large[i][1] if i in large else figures(x.as_py()) for i, x in enumerate(content)]
             made = [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*kept, *names])
+            yield pa.RecordBatch.from_arrays([*own, *made], [*kept, *names])
 
     head = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in kept)
     return src.mapInArrow(run, f"{head}, {FIGURES}" if head else FIGURES)

@@ -13,7 +13,7 @@ from koewake.operators import scan
 from koewake.operators.scan import is_audio
 from koewake.schema import MAX_DURATION_MS, MIN_DURATION_MS
 from koewake.session import new_path
-from koewake.sources.audio_files import FILE_SCHEMA, MOST_BYTES, as_manifest
+from koewake.sources.audio_files import FILE_SCHEMA, as_manifest, bounded
 from koewake.sources.snapshots import Snapshots
 
 
@@ -46,7 +46,7 @@ def watch(spark: SparkSession, directory: str, store: Snapshots, checkpoint: str
     still found.
     """
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(directory)
-    files = files.where(is_audio(F.col("path")) & (F.col("length") <= MOST_BYTES))
+    files = bounded(files.where(is_audio(F.col("path"))))
 
     def each(batch: DataFrame, number: int) -> None:
         found = ingest_batch(store, as_manifest(batch))

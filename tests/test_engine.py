@@ -68,3 +68,24 @@ def test_stream(spark, corpus, tmp_path):
 
 def test_eta():
     assert eta(0, 0, 1.0) == (0, 0.0) and eta(5, 10, 5.0) == (50, 5.0)
+
+
+def test_large_files_are_classified(spark, corpus, tmp_path, monkeypatch):
+    from koewake.sources import audio_files
+
+    (corpus / "long.wav").write_bytes(wav_file(np.arange(32000 * 31) % 9000))
+    (corpus / "large.mp3").write_bytes(b"x" * 100_001)
+    want = {(r["file_name"], r["file_hash"], r["duration_ms"], str(r["issues"])) for r in audio_files.manifest(spark, str(corpus)).collect()}
+    monkeypatch.setattr(audio_files, "MOST_BYTES", 100_000)
+    monkeypatch.setattr(audio_files.wav, "CHUNK", 5_000)
+    assert audio_files.listing(spark, str(corpus)).where("content IS NULL").count() == 2
+    assert {(r["file_name"], r["file_hash"], r["duration_ms"], str(r["issues"])) for r in audio_files.manifest(spark, str(corpus)).collect()} == want and len(want) == 5
+    e = Engine(spark, str(tmp_path / "home"))
+    first = e.scan(str(corpus)).first()
+    assert (first["total"], first["new"], first["skipped"]) == (5, 3, 2)
+    assert {r["file_name"]: r["status"] for r in e.cache().collect()} == {"a.wav": "pending", "B.WAV": "pending", "large.mp3": "pending", "short.wav": "filtered", "long.wav": "filtered"}
+    assert {r["file_path"].split("/")[-1]: r["readable"] for r in e.plan_fixes(str(corpus)).collect()}["long.wav"] is False
+    assert e.process(str(corpus)).first()["total"] == 5
+    store = Snapshots(spark, str(tmp_path / "t"))
+    watch(spark, str(corpus), store, str(tmp_path / "cp")).awaitTermination(120)
+    assert store.read().count() == 5
