@@ -8,7 +8,10 @@ are paired, and then the batch's keys are appended. No earlier row is read again
 Slips: a word of three or four letters may differ by one slip (a letter left out, added, changed, or two swapped), a
 longer one by two, in up to two words of a name; words with Chinese characters must be equal. A name gets one key for
 itself and one for each way of putting near words that were known before in place of its own, so two names that differ
-by slips meet in the key of the words known first, and a hot word costs nothing.
+by slips meet in the key of the words known first, and a hot word costs nothing. A near word that has none known before
+it is a root. A near word is left out only where a root is near to both, in whose key they then meet; roots are never
+left out. What a name had in place of a key's words goes with the key, and where both names of a pair had another word,
+these are compared, so two names that are near to a third one only are no pair.
 
 Defined results: rows without hash have no content key; rows without directory or name have no name key; a name that
 holds nothing but marks of copying is taken as it is; repeated ids pair as rows with another id only; an empty batch
@@ -22,8 +25,10 @@ import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +55,7 @@ _FIXED_WORD = regex.compile(r"\p{Han}")
 
 #: Near words beyond which they are joined instead of sent to every worker.
 MOST_SENT = 100_000
+KEYS = "k BIGINT, k2 BIGINT, id BIGINT, batch INT, own STRING"
 
 
 def name_parts(name: str) -> tuple[str, list[str]]:
@@ -114,7 +120,7 @@ class History:
         ship(spark)
         self.spark, self.path, self.buckets = spark, path or new_path(spark, "history"), buckets
         self.tag = f"koewake_{uuid.uuid4().hex[:12]}"
-        self.keys = self._bucketed("keys", "k BIGINT, k2 BIGINT, id BIGINT, batch INT", "k, k2")
+        self.keys = self._bucketed("keys", KEYS, "k, k2")
         self.words = self._bucketed("words", "cut STRING, word STRING, n BIGINT, batch INT", "cut")
         self.near = self._bucketed("near", "word STRING, known STRING", "word")
         self.batch = (self.spark.table(self.keys).agg(F.max("batch")).first()[0] or 0) if path else 0
@@ -142,20 +148,21 @@ class History:
         self.batch += 1
         named = materialise(_named(rows), "names")
         self._learn(named)
-        content = rows.select(F.col("id").cast("long").alias("id"), F.lower(F.trim("file_hash")).alias("h")).where(F.length("h") > 0).select(*_keys(F.lit("c"), F.col("h")), "id")
+        content = rows.select(F.col("id").cast("long").alias("id"), F.lower(F.trim("file_hash")).alias("h")).where(F.length("h") > 0).select(*_keys(F.lit("c"), F.col("h")), "id", F.lit(None).cast("string").alias("own"))
         new_keys = content.unionByName(self._name_keys(named))
         batch = F.lit(self.batch).alias("batch")
         if first:
-            self._append(new_keys.select("k", "k2", "id", batch), self.keys, "k", "k2")
+            self._append(new_keys.select("k", "k2", "id", batch, "own"), self.keys, "k", "k2")
             together = self.spark.table(self.keys).where(F.col("batch") == self.batch)
         else:
-            fresh = self._bucketed(f"batch{self.batch}", "k BIGINT, k2 BIGINT, id BIGINT, batch INT", "k, k2", new_path(self.spark, "batch"))
-            self._append(new_keys.select("k", "k2", "id", batch), fresh, "k", "k2")
+            fresh = self._bucketed(f"batch{self.batch}", KEYS, "k, k2", new_path(self.spark, "batch"))
+            self._append(new_keys.select("k", "k2", "id", batch, "own"), fresh, "k", "k2")
             new = self.spark.table(fresh)
             touched = self.spark.table(self.keys).join(new.select("k", "k2"), ["k", "k2"], "left_semi")
             together = materialise(touched.unionByName(new), "touched")
             self._append(new, self.keys, "k", "k2")
-        return pairs_within(together.withColumn("fresh", F.col("batch") == self.batch), ["k", "k2"], "id", fresh="fresh").distinct()
+        met = pairs_within(together.withColumn("fresh", F.col("batch") == self.batch), ["k", "k2"], "id", fresh="fresh", keep="own")
+        return met.mapInArrow(_agreeing, "id_a long, id_b long").distinct()
 
     def _learn(self, named: DataFrame) -> None:
         """Add the batch's new words, and which known words they are near to."""
@@ -168,12 +175,14 @@ class History:
         before = (F.col("b.batch") < F.col("a.batch")) | (
             (F.col("b.batch") == F.col("a.batch")) & ((F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.word") < F.col("a.word"))))
         )
-        near = a.join(b, (F.col("a.cut") == F.col("b.cut")) & before).select(F.col("a.word").alias("word"), F.col("b.word").alias("known"), F.col("b.n").alias("n")).distinct()
-        near = near.mapInPandas(_near_enough, "word string, known string, n long, slips int")
-        # a known word is no candidate where a nearer one is common too
-        nearer = F.filter("all", lambda y: (y["slips"] < F.col("x.slips")) & (y["n"] * 10 >= F.col("x.n")))
-        near = near.groupBy("word").agg(F.collect_list(F.struct("known", "n", "slips")).alias("all")).select("word", "all", F.explode("all").alias("x"))
-        self._append(near.where(F.size(nearer) == 0).select("word", F.col("x.known").alias("known")), self.near, "word")
+        near = a.join(b, (F.col("a.cut") == F.col("b.cut")) & before).select(F.col("a.word").alias("word"), F.col("b.word").alias("known")).distinct()
+        near = materialise(near.mapInPandas(_near_enough, "word string, known string"), "near")
+        # a near word is left out where both words have the key of one root
+        every = self.spark.table(self.near).unionByName(near)
+        roots = every.join(every.select(F.col("word").alias("known")).distinct(), "known", "left_anti").groupBy("word").agg(F.collect_set("known").alias("roots"))
+        both = near.join(roots, "word", "left").join(roots.select(F.col("word").alias("known"), F.col("roots").alias("others")), "known", "left")
+        kept = both.where(~F.coalesce(F.arrays_overlap("roots", "others"), F.lit(False))).select("word", "known")
+        self._append(materialise(kept, "kept"), self.near, "word")
         self._append(new.select("cut", "word", "n", "batch"), self.words, "cut")
 
     def _name_keys(self, named: DataFrame) -> DataFrame:
@@ -182,13 +191,13 @@ class History:
             ways: dict[str, list[str]] = {}
             for r in near.collect():
                 ways.setdefault(r["word"], []).append(r["known"])
-            keyed = named.mapInArrow(_spelled(ways), "id long, key string")
+            keyed = named.mapInArrow(_spelled(ways), "id long, key string, own string")
         else:  # the words of a name are few: join their near words and gather them again
             by = near.groupBy("word").agg(F.collect_list("known").alias("known"))
             some = named.select("id", "head", F.posexplode("words").alias("pos", "word")).join(by, "word")
             some = some.groupBy("id", "head").agg(F.collect_list(F.struct("pos", "known")).alias("ways"))
-            keyed = named.join(some, ["id", "head"], "left").mapInArrow(_spelled(None), "id long, key string")
-        return keyed.select(*_keys(F.lit("n"), F.col("key")), "id")
+            keyed = named.join(some, ["id", "head"], "left").mapInArrow(_spelled(None), "id long, key string, own string")
+        return keyed.select(*_keys(F.lit("n"), F.col("key")), "id", "own")
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -216,8 +225,19 @@ def _with_cuts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _near_enough(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         most = [slips_allowed(a, b) for a, b in zip(f["word"], f["known"])]
-        f = f.assign(slips=pd.Series([slips(a, b, m) for a, b, m in zip(f["word"], f["known"], most)], index=f.index, dtype="int32"))
-        yield f[(f["slips"] <= pd.Series(most, index=f.index, dtype="int32"))]
+        yield f[np.array([slips(a, b, m) <= m for a, b, m in zip(f["word"], f["known"], most)], bool)]
+
+
+def _agreeing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs without those of which both names had another word in a place of the key, and these aren't near."""
+    words = lambda own: dict(x.split("\t", 1) for x in own.split("\n"))
+    for b in batches:
+        keep = np.ones(b.num_rows, bool)
+        for i in np.flatnonzero(pc.and_(b.column(2).is_valid(), b.column(3).is_valid()).to_numpy(zero_copy_only=False)):
+            one, two = words(b.column(2)[i].as_py()), words(b.column(3)[i].as_py())
+            both = [(one[p], two[p]) for p in one.keys() & two.keys()]
+            keep[i] = all(slips(x, y, slips_allowed(x, y)) <= slips_allowed(x, y) for x, y in both)
+        yield b.select([0, 1]).filter(pa.array(keep))
 
 
 def _spelled(ways: dict[str, list[str]] | None):
@@ -225,11 +245,12 @@ def _spelled(ways: dict[str, list[str]] | None):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = [], []
+            ids, keys, owns = [], [], []
             joined = b.column(3).to_pylist() if ways is None else None
             for row, (i, head, words) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
                 ids.append(i)
                 keys.append(head + "\n" + " ".join(words))
+                owns.append(None)
                 if ways is None:
                     other = [(x["pos"], w) for x in joined[row] or [] for w in x["known"]]
                 else:
@@ -240,7 +261,8 @@ def _spelled(ways: dict[str, list[str]] | None):
                         own[p] = w
                     ids.append(i)
                     keys.append(head + "\n" + " ".join(own))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["id", "key"])
+                    owns.append("\n".join(f"{p}\t{words[p]}" for p, _ in swaps))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(owns, pa.string())], ["id", "key", "own"])
 
     return run
 

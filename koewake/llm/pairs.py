@@ -49,17 +49,17 @@ def pairs_of_variants(rows: DataFrame, keys: list[str], id_col: str, variant: st
     return a.join(b.hint("merge"), [*keys, "x_a", "x_b", "block"]).select(*_ordered("id_1", "id_2"))
 
 
-def pairs_within(rows: DataFrame, keys: list[str], id_col: str, fresh: str | None = None, hot: int = HOT) -> DataFrame:
-    """All ``(id_a, id_b)``, ``id_a < id_b``, of rows with equal ``keys``.
+def pairs_within(rows: DataFrame, keys: list[str], id_col: str, fresh: str | None = None, hot: int = HOT, keep: str | None = None) -> DataFrame:
+    """All ``(id_a, id_b)``, ``id_a < id_b``, of rows with equal ``keys``; with ``keep`` also that column of both, in no order.
 
     ``fresh``: only pairs of which at least one row is true in that column. ``rows`` must be cheap to read twice. Rows
     of a key with more than ``hot`` rows are cut into blocks, and the other side of the pairs goes to every block, so
     no task pairs a whole key. Null keys make no pairs.
     """
-    known = rows.select(*keys, F.col(id_col).alias("id"), (F.col(fresh) if fresh else F.lit(True)).alias("fresh"))
+    known = rows.select(*keys, F.col(id_col).alias("id"), (F.col(fresh) if fresh else F.lit(True)).alias("fresh"), *([F.col(keep).alias("keep")] if keep else []))
     spread = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("any")).where((F.col("n") > 1) & F.col("any"))
     known = known.join(spread.select(*keys, F.ceil(F.col("n") / hot).cast("int").alias("blocks")), keys)
-    a = known.where("fresh").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "fresh").withColumnRenamed("id", "id_1")
-    b = known.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks").withColumnRenamed("id", "id_2")
+    a = known.where("fresh").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "fresh").withColumnsRenamed({"id": "id_1", "keep": "keep_1"})
+    b = known.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks").withColumnsRenamed({"id": "id_2", "keep": "keep_2"})
     once = (F.col("id_1") < F.col("id_2")) | (~F.col("fresh") & (F.col("id_1") != F.col("id_2")))
-    return a.join(b, [*keys, "block"]).where(once).select(*_ordered("id_1", "id_2"))
+    return a.join(b, [*keys, "block"]).where(once).select(*_ordered("id_1", "id_2"), *(["keep_1", "keep_2"] if keep else []))

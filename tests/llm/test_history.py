@@ -98,3 +98,19 @@ def test_bucketed_join_has_no_shuffle_of_the_history(spark):
     plan = t.join(t.select("k", "k2"), ["k", "k2"], "left_semi").hint("merge")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     h.close()
+
+
+def named(spark, names):
+    """Rows of one directory, the last third of them on a later day, and their true pairs."""
+    import datetime as d
+
+    rows = [(i, None, n, "/data/a", d.datetime(2025, 1, 1 + (3 * i >= 2 * len(names))), "") for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, FIELDS), truth(rows)
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_copies_of_copies(spark, turn):
+    words = ["lullaby"] * 12 + ["lulaby", "laby", "llaby", "lullabyxx", "lulabyx"]
+    df, want = named(spark, [f"{w}_0007.wav" for w in words][::turn])
+    for day in (None, "created_at"):
+        assert sorted(map(tuple, H.same_recordings(df, day, buckets=2).collect())) == want
