@@ -6,7 +6,7 @@ written with the same buckets; bucket-local semi-joins find the keys of the hist
 are paired, and then the batch's keys are appended. No earlier row is read again beyond its keys.
 
 Slips: a word of three or four letters may differ by one slip (a letter left out, added, changed, or two swapped), a
-longer one by two, in up to two words of a name; words with Chinese characters must be equal. A name gets one key for
+longer one by two, in any number of words; words with Chinese characters must be equal. A name gets one key for
 itself and one for each way of putting near words that were known before in place of its own, so two names that differ
 by slips meet in the key of the words known first, and a hot word costs nothing. A near word that has none known before
 it is a root. A near word is left out only where a root is near to both, in whose key they then meet; roots are never
@@ -55,6 +55,8 @@ _FIXED_WORD = regex.compile(r"\p{Han}")
 
 #: Near words beyond which they are joined instead of sent to every worker.
 MOST_SENT = 100_000
+#: Keys that a worker makes before it hands them on; a name may have many.
+MOST_AT_ONCE = 10_000
 KEYS = "k BIGINT, k2 BIGINT, id BIGINT, batch INT, own STRING"
 
 
@@ -241,28 +243,27 @@ def _agreeing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spelled(ways: dict[str, list[str]] | None):
-    """One key for a name, and one for each way of putting near words in place of one or two of its own."""
+    """One key for a name, and one for each way of putting near words in place of any of its own."""
+
+    def keys_of(b: pa.RecordBatch) -> Iterator[tuple[int, str, str | None]]:
+        joined = b.column(3).to_pylist() if ways is None else None
+        for row, (i, head, words) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
+            choices = [[w] for w in words]
+            if ways is None:
+                for x in joined[row] or []:
+                    choices[x["pos"]] += x["known"]
+            else:
+                for c in choices:
+                    c += ways.get(c[0], ())
+            for chosen in itertools.product(*choices):
+                own = [f"{p}\t{w}" for p, (w, c) in enumerate(zip(words, chosen)) if w != c]
+                yield i, head + "\n" + " ".join(chosen), "\n".join(own) or None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys, owns = [], [], []
-            joined = b.column(3).to_pylist() if ways is None else None
-            for row, (i, head, words) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
-                ids.append(i)
-                keys.append(head + "\n" + " ".join(words))
-                owns.append(None)
-                if ways is None:
-                    other = [(x["pos"], w) for x in joined[row] or [] for w in x["known"]]
-                else:
-                    other = [(p, k) for p, w in enumerate(words) for k in ways.get(w, ())]
-                for swaps in itertools.chain(((x,) for x in other), (xy for xy in itertools.combinations(other, 2) if xy[0][0] != xy[1][0])):
-                    own = list(words)
-                    for p, w in swaps:
-                        own[p] = w
-                    ids.append(i)
-                    keys.append(head + "\n" + " ".join(own))
-                    owns.append("\n".join(f"{p}\t{words[p]}" for p, _ in swaps))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(owns, pa.string())], ["id", "key", "own"])
+            for part in itertools.batched(keys_of(b), MOST_AT_ONCE):
+                ids, keys, owns = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(owns, pa.string())], ["id", "key", "own"])
 
     return run
 

@@ -114,3 +114,12 @@ def test_copies_of_copies(spark, turn):
     df, want = named(spark, [f"{w}_0007.wav" for w in words][::turn])
     for day in (None, "created_at"):
         assert sorted(map(tuple, H.same_recordings(df, day, buckets=2).collect())) == want
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_slips_in_every_word(spark, monkeypatch, sent):
+    monkeypatch.setattr(H, "MOST_SENT", sent)
+    monkeypatch.setattr(H, "MOST_AT_ONCE", 3)
+    names = ["brinta_final_battle_0084.wav"] * 2 + ["brnita_finnal_batle_0084.wav", "brintta_fnal_battel_84.wav", "brnita_finnal_batle_0085.wav"]
+    df, want = named(spark, names)
+    assert (0, 2) in want and sorted(map(tuple, H.same_recordings(df, "created_at", buckets=2).collect())) == want
