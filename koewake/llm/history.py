@@ -73,7 +73,7 @@ def name_parts(name: str) -> tuple[str, list[str]]:
     tokens = _TOKEN.findall(s)
     words = [t for t in tokens if not t[0].isdecimal()]
     head = " ".join("w" if not t[0].isdecimal() else (t.lstrip("0") or "0") for t in tokens)
-    return head, words or [s]
+    return head, words if tokens else [s]
 
 
 def slips_allowed(*words: str) -> int:

@@ -123,3 +123,9 @@ def test_slips_in_every_word(spark, monkeypatch, sent):
     names = ["brinta_final_battle_0084.wav"] * 2 + ["brnita_finnal_batle_0084.wav", "brintta_fnal_battel_84.wav", "brnita_finnal_batle_0085.wav"]
     df, want = named(spark, names)
     assert (0, 2) in want and sorted(map(tuple, H.same_recordings(df, "created_at", buckets=2).collect())) == want
+
+
+def test_names_of_digits_only(spark):
+    df, want = named(spark, ["001.wav", "1.wav", "0012_0003.wav", "12-3.wav", "2.wav", "123.wav", "12.wav", "1 (1).mp3"])
+    assert want == [(0, 1), (0, 7), (1, 7), (2, 3)]
+    assert sorted(map(tuple, H.same_recordings(df, "created_at", buckets=2).collect())) == want
