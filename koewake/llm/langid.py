@@ -7,8 +7,10 @@ are left out before it goes on. It is applied to batches of windows of fixed len
 its windows.
 
 Defined results: a text that is null, empty or without letters has no segments and no language; the language with the
-most letters is the main one; another one counts only with a whole sentence of several words; texts of any length are
-cut into sentences whole.
+most letters is the main one; another one counts only with a whole sentence. That is a segment with its own end mark that
+stands by itself and is read with high confidence, also of two words (in Korean one with a sentence's ending, in Chinese
+and Japanese two letters), or else one of several words; a single word or a name isn't. Texts of any length are cut into
+sentences whole.
 """
 
 from __future__ import annotations
@@ -62,6 +64,12 @@ _END = regex.compile(r"(?:[!?。！？…]|\.(?=[\s\"”’'」』)\]…¿¡]|$|
 # quoted or bracketed whole sentences inside a line
 _INNER = regex.compile(r"[「『(\"“]([^「『(\"“」』)\"”]*[.!?。！？…])[」』)\"”]")
 
+# its own end mark; what shows that a quoting sentence goes on; the ending of a Korean sentence of one word
+_CLOSED = regex.compile(r"[.!?。！？…][\"”’」』)\]]*$")
+_GOES_ON = regex.compile(r"\s*[,、，]?\s*(?:\p{Ll}|と|って|이?라고)")
+_HANGUL_ONLY = regex.compile(r"(?:\p{Hangul}|\P{L})*$")
+_KOREAN_END = regex.compile(r"\p{Hangul}(?:요|다|까|죠|니|네)$")
+
 
 def named_language(label: Column) -> Column:
     """The language that a label names, by code or name, also with a region; null where it names none."""
@@ -250,15 +258,42 @@ class Reader:
         return [[(s, *self.known[p]) for s, p in zip(c, f)] for c, f in zip(cut, flat)]
 
 
-def languages_of(read: list[tuple[str, str, float]], least: float = 0.5) -> list[str]:
-    """The languages of a text: the main one, and others with a whole sentence."""
+def embedded(text: str) -> set[str]:
+    """The segments of a text that are quoted or bracketed inside another sentence."""
+    s = _HIDDEN.sub("", text)
+    found: set[str] = set()
+    for m in _INNER.finditer(s):
+        before = _END.split(s[: m.start()])[-1]
+        if _LETTER.search(before) or _GOES_ON.match(s, m.end()):
+            found.update(segments(m[1]))
+    return found
+
+
+def is_sentence(s: str, lang: str, p: float, inside: bool, least: float = 0.5, sure: float = 0.9) -> bool:
+    """Whether a segment is a whole sentence: by its own end mark, or by several words where it has none or lies inside another."""
+    words, letters, cjk = _WORD.findall(s), len(_LETTER.findall(s)), _CJK.search(s)
+    if p < least:
+        return False
+    if letters >= 4 if cjk else len(words) >= 3:
+        return True
+    if inside or not _CLOSED.search(s) or (p < sure and not (lang == "ko" and _HANGUL_ONLY.match(s))):  # one language alone writes Hangul
+        return False
+    if cjk:
+        return letters >= 2
+    if len(words) == 1:
+        return bool(_KOREAN_END.search(words[0]))
+    return lang == "de" or not all(w.istitle() for w in words)  # two names
+
+
+def languages_of(read: list[tuple[str, str, float]], least: float = 0.5, inside: set[str] | frozenset[str] = frozenset()) -> list[str]:
+    """The languages of a text: the main one, and others with a whole sentence. ``inside``: its ``embedded`` segments."""
     letters: dict[str, int] = {}
     for s, lang, _ in read:
         letters[lang] = letters.get(lang, 0) + len(_LETTER.findall(s)) * (2 if _CJK.search(s) else 1)
     if not letters:
         return []
     main = max(letters, key=lambda x: (letters[x], x))
-    whole = {lang for s, lang, p in read if p >= least and (len(_WORD.findall(s)) >= 3 if not _CJK.search(s) else len(_LETTER.findall(s)) >= 4)}
+    whole = {lang for s, lang, p in read if lang != main and is_sentence(s, lang, p, s in inside, least)}
     return sorted({main} | whole)
 
 
@@ -275,7 +310,7 @@ def read_languages(df: DataFrame, id_col: str, text: str, net: ByteNet, keep: li
             col = b.column(b.num_columns - 1).to_pylist()
             distinct = list(dict.fromkeys(col))
             read = dict(zip(distinct, reader.read(distinct)))
-            langs = {t: languages_of(r) for t, r in read.items()}
+            langs = {t: languages_of(r, inside=embedded(t) if len({lang for _, lang, _ in r}) > 1 else frozenset()) for t, r in read.items()}
             rows = [[{"segment": s, "lang": lang, "confidence": p} for s, lang, p in read[t]] for t in col]
             out = [*b.columns[:-1], pa.array([langs[t] for t in col], pa.list_(pa.string())), pa.array(rows, pa.list_(piece))]
             yield pa.RecordBatch.from_arrays(out, [*b.schema.names[:-1], "langs", "segments"])

@@ -66,3 +66,21 @@ def test_sample_is_bounded(spark):
     df = spark.range(3000).select("id", F.lit("ねえ、どこへ行ったの？").alias("t"), F.lit("ja").alias("l"))
     assert 0 < len(L.labelled_sample(df, "id", "t", "l", most=600)) <= 600
     assert L.labelled_sample(df.limit(0), "id", "t", "l") == []
+
+
+def test_short_whole_sentences_count():
+    ja = ("家に忘れたけど、誰も気づかなかった。", "ja", 0.99)
+    read = lambda text, lang, p=0.97: L.languages_of([ja, (text, lang, p)], inside=L.embedded(ja[0] + text))
+    for text, lang in [("Thank you.", "en"), ("정말 고마워요.", "ko"), ("고마워요!", "ko"), ("没事。", "zh"), ("Guten Morgen!", "de")]:
+        assert L.segments(ja[0] + text)[1] == text and read(text, lang) == sorted(["ja", lang]), text
+    assert read("정말 고마워요.", "ko", 0.7) == ["ja", "ko"]
+    for text, lang, p in [("Thank you.", "en", 0.7), ("Thank you", "en", 0.97), ("Anna!", "en", 0.97), ("Anna Meier!", "es", 0.97), ("오빠!", "ko", 0.97)]:
+        assert read(text, lang, p) == ["ja"], text
+    assert L.embedded("彼女は「Thank you.」と言った。") == {"Thank you."} == L.embedded("「Thank you.」と彼女は言った。") and L.embedded("帰った。「Thank you.」") == set()
+    assert L.languages_of([ja, ("Thank you.", "en", 0.97)], inside={"Thank you."}) == ["ja"]
+    assert L.languages_of([ja, ("Thank you very much.", "en", 0.97)], inside={"Thank you very much."}) == ["en", "ja"]
+
+
+def test_short_whole_sentences_are_reported(spark, net):
+    df = spark.createDataFrame([(1, "家に忘れたけど、誰も気づかなかった。우리는 있었습니다.", "ja")], "id long, text string, language string")
+    assert sorted(map(tuple, L.wrong_labels(df, "id", "text", "language", net).collect())) == [(1, "ja"), (1, "ko")]
