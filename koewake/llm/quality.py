@@ -6,6 +6,7 @@ applied natively, together with the statistics; nothing is shuffled and no Pytho
 running prose if its running lines make up at least half of its signs.
 
 Defined results: null, empty and blank texts have null statistics and no verdict; lines that show nothing don't count;
+marks of quoting and names of speakers count as signs of their line, and a line of nothing else is no running sentence;
 texts of any length are measured whole.
 """
 
@@ -89,12 +90,18 @@ BLANKS = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u20
 
 
 def _bare(x: str) -> str:
-    """A line without the marks of quoting, the name of a speaker, controls, and outer blanks."""
-    return rf"regexp_replace(regexp_replace(regexp_replace({x}, r'^(?:\s*>)+\s?', ''), r'^[\p{{L}}\p{{M}}]{{1,12}}\s?[:：]', ''), r'[\p{{Cf}}]|^\s+|\s+$', '')"
+    """A line without the marks of quoting, the name of a speaker that has text behind it, controls, and outer blanks."""
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, r'^(?:\s*>)+\s?', ''), r'^[\p{{L}}\p{{M}}]{{1,12}}\s?[:：](?=\s*[^\s\p{{Cf}}])', ''), r'[\p{{Cf}}]|^\s+|\s+$', '')"
 
 
 def _lines(text: str) -> str:
-    return rf"filter(transform(split(translate({text}, '{BLANKS}', '{' ' * len(BLANKS)}'), r'\R'), l -> {_bare('l')}), l -> length(l) > 0)"
+    """SQL of the lines that show something: ``x`` is what is judged, maybe empty, ``signs`` what the whole line shows."""
+    shown = r"length(regexp_replace(l, r'[\p{Cf}]|^\s+|\s+$', ''))"
+    return rf"filter(transform(split(translate({text}, '{BLANKS}', '{' ' * len(BLANKS)}'), r'\R'), l -> named_struct('x', {_bare('l')}, 'signs', {shown})), l -> l.signs > 0)"
+
+
+def _judged(lines: str, what: str) -> str:
+    return f"transform(filter({lines}, l -> length(l.x) > 0), l -> l.{what})"
 
 
 #: Signs of a line from which it is judged alone, and of its neighbours that are seen with a shorter one.
@@ -112,7 +119,7 @@ _LEARNED: dict[tuple[int, int], list[rules.Rule]] = {}
 def line_features(spark: SparkSession, documents: list[tuple[list[str], bool]]) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the lines of labelled documents, computed by the SQL that the corpus is measured by."""
     df = spark.createDataFrame([("\n".join(xs), prose) for xs, prose in documents], "text string, prose boolean")
-    df = df.selectExpr(_lines("text") + " AS xs", "prose").where("size(xs) > 0").selectExpr(f"explode({_WINDOWS}) AS w", "prose")
+    df = df.selectExpr(_lines("text") + " AS ls", "prose").selectExpr(_judged("ls", "x") + " AS xs", "prose").where("size(xs) > 0").selectExpr(f"explode({_WINDOWS}) AS w", "prose")
     got = df.selectExpr(_line_struct("w") + " AS f", "prose").select("f.*", "prose").toPandas()
     return got[NAMES].to_numpy(float), got["prose"].to_numpy(bool)
 
@@ -142,11 +149,12 @@ def statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text", learne
     learned = learned_rules(df.sparkSession) if learned is None else learned
     once = lambda e: f"explode(array({e}))"  # noqa: E731 - a generator is evaluated once, a projection would be repeated wherever it is used
     docs = spread(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    lines = docs.selectExpr("doc_id", "text", f"{once(_lines('coalesce(text, {empty})'.format(empty=repr(''))))} AS xs")
-    measured = lines.selectExpr("doc_id", "text", "xs", f"{once(f'transform({_WINDOWS}, w -> {_line_struct(chr(119))})')} AS fs")
-    judged = measured.selectExpr("*", f"transform(fs, f -> {rules.to_sql(learned, 'f.')}) AS junk", "transform(xs, x -> CAST(length(x) AS DOUBLE)) AS own")
+    lines = docs.selectExpr("doc_id", "text", f"{once(_lines('coalesce(text, {empty})'.format(empty=repr(''))))} AS ls")
+    lines = lines.selectExpr("doc_id", "text", "ls", f"{once(_judged('ls', 'x'))} AS xs")
+    measured = lines.selectExpr("doc_id", "text", "ls", "xs", f"{once(f'transform({_WINDOWS}, w -> {_line_struct(chr(119))})')} AS fs")
+    judged = measured.selectExpr("*", f"transform(fs, f -> {rules.to_sql(learned, 'f.')}) AS junk", f"transform({_judged('ls', 'signs')}, n -> CAST(n AS DOUBLE)) AS own")
     total = lambda what: f"aggregate(fs, 0D, (a, f) -> a + {what})"
-    n = "aggregate(own, 0D, (a, v) -> a + v)"
+    n = "aggregate(ls, 0D, (a, l) -> a + l.signs)"
     mean = lambda what: f"{total(f'{what} * f.signs')} / greatest({total('f.signs')}, 1D)"
     words = "size(filter(split(text, r'\\s+'), w -> length(w) > 0))"
     s = judged.selectExpr(

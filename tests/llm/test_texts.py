@@ -126,3 +126,13 @@ def test_quality_edges(spark):
     assert by[1]["words"] == len(prose.split()) and by[1]["lines_ending_in_punctuation"] == 1.0 and by[3]["words"] is None
     assert {r["doc_id"] for r in quality.not_prose(df).collect()} == {2, 6}
     assert quality.statistics(df.limit(0)).count() == 0
+
+
+def test_labels_and_quote_marks_alone_are_no_prose(spark):
+    prose = "When the rain was over, we went back to the house and nobody said a word about it."
+    rows = [(1, "Name:\nDate:\nPlace:"), (2, ">\n> >\n>"), (3, "Name: \n> \n日付：　"), (4, " \n　"), (5, f"> {prose}\n>\n> {prose}"), (6, f"ANNA: {prose}"), (7, "名前：​\n年齢：​"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r["doc_id"]: r for r in quality.statistics(df).collect()}
+    assert [by[i]["is_prose"] for i in range(1, 9)] == [False, False, False, None, True, True, False, None]
+    assert {r["doc_id"] for r in quality.not_prose(df).collect()} == {1, 2, 3, 7}
+    assert by[1]["signs"] == 16 and by[2]["signs"] == 5 and by[6]["signs"] == len(prose) + 6
