@@ -9,8 +9,7 @@ interpolated. The error is zero, in rank and in value.
 The counted values are also the form in which results combine: ``combine`` adds those of several days or directories,
 and percentiles of the sum equal percentiles of all rows.
 
-Defined results: null and NaN values are left out and counted as ``n_missing`` by ``value_counts``; a null group is a
-group; a group with one value has it as every percentile; an empty table gives no rows.
+Defined results: null and NaN values are left out, and no result tells how many they were; a null group is a group; a group with one value has it as every percentile; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -32,7 +32,7 @@ SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted durations per day, directory and emotion: the parts that days and directories are combined from."""
+    """Counted durations per directory and per emotion; what isn't above zero is no duration and left out."""
     rows = load(spark, sf_dir, "audio_cache", "duration_ms", "emotion_final", "source_dir", "created_at")
     both = F.array(
         F.struct(F.lit("emotion_final").alias("grouping"), clean_label(F.col("emotion_final")).alias("key")),
@@ -53,7 +53,7 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The medians of each directory by month, combined from counts that were made by day."""
+    """The medians of each directory by month, combined from counts that were made by day; of durations above zero."""
     rows = load(spark, sf_dir, "audio_cache", "duration_ms", "source_dir", "created_at").where("duration_ms > 0")
     daily = percentiles.value_counts(rows, {"dir": clean_dir(F.col("source_dir")), "day": F.to_date("created_at")}, F.col("duration_ms"))
     monthly = percentiles.combine([daily.withColumn("month", F.date_format("day", "yyyy-MM"))], ["dir", "month"])
