@@ -14,9 +14,3 @@ def clean_label(x: Column) -> Column:
     """A label without letter case, width and outer blanks; null where nothing is left."""
     y = F.lower(F.trim(F.translate(F.regexp_replace(x, r"[\x{A0}\x{2000}-\x{200F}\x{3000}\x{FEFF}\t\r\n]", " "), FULL_LETTERS, PLAIN_LETTERS)))
     return F.when(F.length(y) > 0, y)
-
-
-def clean_label_sql(x: str) -> str:
-    """The same for DuckDB."""
-    blanks = r"[\x{A0}\x{2000}-\x{200F}\x{3000}\x{FEFF}\t\r\n]"
-    return f"nullif(lower(trim(translate(regexp_replace({x}, '{blanks}', ' ', 'g'), '{FULL_LETTERS}', '{PLAIN_LETTERS}'))), '')"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from koewake.functions.labels import clean_label_sql
-from koewake.functions.paths import clean_dir_sql
-
 # Fixed values, as in functions.text; DuckDB's patterns know the newer format characters.
 WS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 HALF = "ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝﾞﾟ"
@@ -33,6 +30,21 @@ japanese = lambda x: f"regexp_matches({x}, '[{JA}]')"
 bare = lambda x: f"regexp_replace({x}, '[{WS}{EMPTY}]+', '', 'g')"
 
 
+def label_sql(x: str) -> str:
+    """A label without letter case, width and outer blanks; null where nothing is left."""
+    blank = r"[\x{A0}\x{2000}-\x{200F}\x{3000}\x{FEFF}\t\r\n]"
+    return f"nullif(lower(trim(translate(regexp_replace({x}, '{blank}', ' ', 'g'), '{WIDE}', '{PLAIN}'))), '')"
+
+
+def dir_sql(x: str) -> str:
+    """A directory in one spelling: its steps are put on a stack, which a step back shortens."""
+    steps = f"list_filter(string_split(trim({x}), '/'), lambda s: s NOT IN ('', '.'))"
+    root = f"starts_with(trim({x}), '/')"
+    push = f"CASE WHEN s[1] <> '..' THEN list_concat(a, s) WHEN len(a) > 0 AND a[-1] <> '..' THEN a[:-2] WHEN {root} THEN a ELSE list_concat(a, s) END"
+    stack = f"list_reduce(list_transform({steps}, lambda s: [s]), lambda a, s: {push}, CAST([] AS VARCHAR[]))"
+    return f"nullif(CASE WHEN {root} THEN '/' ELSE '' END || array_to_string({stack}, '/'), '')"
+
+
 def reason(x: str) -> str:
     s = strip(x)
     return f"""CASE WHEN {s} = '' THEN 'empty' WHEN {sound(s)} THEN 'non_verbal' WHEN NOT {japanese(s)} THEN 'no_japanese'
@@ -41,7 +53,7 @@ def reason(x: str) -> str:
 
 HEARD = "coalesce(nullif(raw_asr_text, ''), asr_text)"
 _text = lambda e: f"SELECT id, {e} AS value FROM audio_cache WHERE asr_text IS NOT NULL"
-DIR = clean_dir_sql("source_dir")
+DIR = dir_sql("source_dir")
 ISSUES = "quality_issues IS NOT NULL AND quality_issues <> '[]' AND quality_issues <> ''"
 _counts = ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in STATUSES)
 _dash = f"count(*) AS total, {_counts}, count(*) FILTER ({ISSUES}) AS quality_issues, count(*) FILTER (raw_asr_text <> '') AS corrected"
@@ -207,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "emotion_histogram": HISTOGRAM + "SELECT emotion, n FROM h",
         "emotion_share": HISTOGRAM + f"SELECT emotion, n, {_pct('n', 'total')} AS share FROM h",
         "emotion_bar": HISTOGRAM + "SELECT emotion, n, repeat('█', CAST(floor(n / most * 20) AS INT)) || repeat('░', 20 - CAST(floor(n / most * 20) AS INT)) AS bar FROM h",
-        "emotion_by_dir": f"SELECT {DIR} AS dir, {clean_label_sql('emotion')} AS emotion, count(*) AS n FROM audio_cache WHERE status = 'done' GROUP BY ALL",
+        "emotion_by_dir": f"SELECT {DIR} AS dir, {label_sql('emotion')} AS emotion, count(*) AS n FROM audio_cache WHERE status = 'done' GROUP BY ALL",
         "neutral_alert": "SELECT count(*) AS done, count(*) FILTER (emotion = 'neutral') AS neutral, coalesce(count(*) FILTER (emotion = 'neutral') * 100.0 / nullif(count(*), 0) > 70, false) AS alert FROM audio_cache WHERE status = 'done'",
         "neutral_alert_by_dir": f"SELECT {DIR} AS dir, count(*) AS done, count(*) FILTER (emotion = 'neutral') AS neutral, coalesce(count(*) FILTER (emotion = 'neutral') * 100.0 / nullif(count(*), 0) > 70, false) AS alert FROM audio_cache WHERE status = 'done' GROUP BY 1",
         "reason_rollup": f"""

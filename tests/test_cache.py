@@ -190,3 +190,14 @@ def test_registry_and_dotenv(tmp_path):
     (tmp_path / ".env").write_text("# x\nA=1\nB='two'\nC\nD=\"3\"\nA=4\n")
     env = {"D": "kept"}
     assert load_dotenv(str(tmp_path / ".env"), env) == {"A": "1", "B": "two"} and env["D"] == "kept"
+
+
+def test_directories_of_any_depth(spark):
+    from koewake.functions.paths import clean_dir
+
+    want = {
+        "/a/b/c/d/e/f/../../../../../x": "/a/x", "/a//b/": "/a/b", "/data/tmp/../a": "/data/a", "/../x": "/x", "a/../../b": "../b", "./a": "a", "/": "/",
+        "": None, "  ": None, "/a/.": "/a", "/a/./b/..": "/a", "../x/..": "..", "a/..": None, "/..//..": "/", "/a/..b/.c/...": "/a/..b/.c/...", "/s" * 40 + "/.." * 39: "/s",
+    }
+    df = spark.createDataFrame(list(want.items()), "p string, want string")
+    assert [tuple(r) for r in df.where(~clean_dir(F.col("p")).eqNullSafe(F.col("want"))).select("p", clean_dir(F.col("p"))).collect()] == []
