@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from koewake.llm import encode, history, langid, leakage, lookalike, percentiles, quality, quota_sample
-from koewake.functions.labels import clean_label, clean_label_sql
-from koewake.functions.paths import clean_dir, clean_dir_sql
+from koewake.functions.labels import clean_label
+from koewake.functions.paths import clean_dir
+from koewake.plans.oracle import dir_sql, label_sql
 from koewake.plans.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,10 +127,10 @@ def _shares_sql(groups: str, source: str, shares: tuple[float, ...]) -> str:
 
 
 def _p4_sql() -> str:
-    emotion = f"coalesce({clean_label_sql('emotion_final')}, {clean_label_sql('emotion')}, 'neutral')"
+    emotion = f"coalesce({label_sql('emotion_final')}, {label_sql('emotion')}, 'neutral')"
     return f"""
         WITH c AS (SELECT {emotion} AS category, count(*) AS available FROM audio_cache WHERE status = 'done' GROUP BY 1),
-        w AS (SELECT plan_id, emotion, {clean_label_sql('emotion')} AS category,
+        w AS (SELECT plan_id, emotion, {label_sql('emotion')} AS category,
                      greatest(coalesce(min_rows, 0), CAST(ceil(round(coalesce(target_share, 0) * coalesce(sample_rows, 0), 6)) AS BIGINT)) AS wanted FROM sample_targets)
         SELECT plan_id, emotion, wanted, coalesce(available, 0) AS available, least(wanted, coalesce(available, 0)) AS taken, coalesce(available, 0) < wanted AS exhausted
         FROM w LEFT JOIN c USING (category)"""
@@ -137,7 +138,7 @@ def _p4_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     positive = "FROM audio_cache WHERE duration_ms > 0"
-    label, place = clean_label_sql("emotion_final"), clean_dir_sql("source_dir")
+    label, place = label_sql("emotion_final"), dir_sql("source_dir")
     durations = f"SELECT 'emotion_final' AS grouping, {label} AS key, duration_ms {positive} UNION ALL SELECT 'source_dir', {place}, duration_ms {positive}"
     return {
         "p3_ranks": f"""
