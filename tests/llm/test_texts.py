@@ -76,6 +76,56 @@ def test_leaks_against_brute_force(spark, edits):
     assert leakage.leaks(d.limit(0), e).count() == leakage.leaks(d, e.limit(0)).count() == 0
 
 
+def brute(docs, items, edits=0):
+    """Pairs of a document and an item of which a shortest run lies in it, by search for every run."""
+    out = set()
+    for k, text, lang in items:
+        s = leakage.letters(text)
+        sizes = [1] * len(s) if lang != "en" else [len(leakage.letters(w)) for w in text.split()]
+        ends = list(np.cumsum(sizes))
+        n = min(len(ends), 12 if lang == "en" else 24)
+        runs = {s[(ends[j] - sizes[j]) : ends[j + n - 1]] for j in range(len(ends) - n + 1)}
+        out |= {(i, k) for i, t in docs for r in runs if r in leakage.letters(t)}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limits", [(1 << 21, 1 << 20, 4096, 50_000), (300, 60, 40, 2)])
+def test_hot_grams_and_small_bounds(spark, monkeypatch, limits):
+    for name, v in zip(("BLOCK", "MOST_HITS", "PIECE", "MOST_ITEMS"), limits):
+        monkeypatch.setattr(leakage, name, v)
+    r = random.Random(8)
+    ab = "".join(r.choice("あい") for _ in range(400))
+    items = [(1, "あ" * 90, "ja"), (2, "あい" * 50, "ja"), (3, ab, "ja"), (4, "あ" * 23 + "い" + "う" * 23, "ja"), (5, "ha " * 40, "en"), (6, passage(r), "en"), (7, "あ" * 23 + "い" + "あ" * 23 + "う", "zh")]
+    docs = [(1, "あ" * 5000), (2, "あい" * 700), (3, "い" + ab[100:123] + "う" + ab[100:124]), (4, ("あ" * 23 + "い") * 200), (5, "ha" * 300), (6, items[5][1].upper()), (7, "う" * 23 + "い"), (8, "".join(r.choice("あい") for _ in range(3000))), (6, items[5][1])]
+    docs += [(9, passage(r, 400) + items[5][1] + "あ" * 3000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    e = spark.createDataFrame(items, "item_id long, text string, lang string")
+    fs = leakage.finders("test", items, 12, 24, 1)  # in this process, where the bounds are changed
+    got = sorted((docs[at][0], items[k][0]) for at, some in leakage.held([t for _, t in docs], fs, True) for k in some)
+    leakage._READY.clear()
+    want = sorted([*brute(docs, items), (6, 6)])
+    assert got == want and len(want) > 8
+    assert sorted(map(tuple, leakage.leaks(d, e).collect())) == want
+
+
+def test_equal_letters_stay_bounded():
+    import resource
+    import time
+
+    began, before = time.perf_counter(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    cases = [
+        ([(1, "あ" * 5000, "ja")], "あ" * 1_000_000, {1}),
+        ([(1, "あ" * 5000, "ja")], ("あ" * 23 + "い") * 40_000, None),
+        ([(1, "あいう" * 2000, "ja"), (2, "x " * 3000, "en")], "あうい" * 300_000 + "x" * 100_000, {2}),
+    ]
+    for items, text, want in cases:
+        fs = leakage.finders(items[0][1][:2] + text[23], items, 12, 24, 1)
+        got = [(at, {items[k][0] for k in some}) for at, some in leakage.held([text, None], fs, True)]
+        assert got == ([(0, want)] if want else [])
+    leakage._READY.clear()
+    assert time.perf_counter() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
 def test_near_leaks(spark):
     r = random.Random(5)
     text = passage(r)
