@@ -43,6 +43,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.same_recordings(rows, day="created_at")
 
 
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each row of the latest day, what the history before it covers."""
+    rows = load(spark, sf_dir, "audio_cache", "id", "file_hash", "file_name", "source_dir", "created_at")
+    return history.covered_by_history(rows, "created_at")
+
+
 SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -130,7 +136,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    all_of = (p1_found, p1_forms, p1_classes, p2_found, p3_ranks, p3_percentiles, p3_combined_days, p4_found, p4_report, p4_sample, p5_found, p5_segments, p6_ids, p6_round_trip, p7_found, p7_near, p8_found, p8_statistics)
+    all_of = (p1_found, p1_forms, p1_classes, p2_found, p2_coverage, p3_ranks, p3_percentiles, p3_combined_days, p4_found, p4_report, p4_sample, p5_found, p5_segments, p6_ids, p6_round_trip, p7_found, p7_near, p8_found, p8_statistics)
     return {f.__name__: f for f in all_of}
 
 
