@@ -40,7 +40,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from koewake.functions.paths import clean_dir
 from koewake.llm.pairs import HOT, MOST_HOT, pairs_within
@@ -250,17 +249,19 @@ class History:
         src = rows.select(F.col("id").cast("long").alias("id"), "file_name", clean_dir(F.col("source_dir")).alias("dir"), F.nullif(F.lower(F.trim("file_hash")), F.lit("")).alias("h"))
         named = self._temp(_named(src), "names")
         if not self.buckets:
-            self.buckets = self.wanted or max(self.spark.sparkContext.defaultParallelism, -(-named.count() // BUCKET_ROWS))
+            self.buckets = self.wanted or max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-named.count() // BUCKET_ROWS))
             self._tables()
         self._learn(named, batch)
         self._put("parts", _parts(named).select("p").distinct().join(self._before("parts", batch), "p", "left_anti"), batch)
         content = src.where("h IS NOT NULL").select(*_keys(F.lit("c"), F.col("h")), "id", F.lit(None).cast("string").alias("own"), F.lit(None).cast("long").alias("c"))
         whole = named.select(*_keys(F.lit("n"), F.concat("head", F.lit("\n"), F.array_join("words", " "))))
         made = content.unionByName(self._name_keys(named, batch))
-        if src.count() > HOT:  # else no key can have more rows than that
-            self._put("hot", _cut(content.select("k", "k2").unionByName(whole)), batch)
-        else:
+        n = src.count()
+        hot = _cut(content.select("k", "k2").unionByName(whole), 2 * n) if n > HOT else None  # else no key can have so many rows
+        if hot is None or hot.isEmpty():
             self._none("hot", batch)
+        else:
+            self._put("hot", hot, batch)
         self._put("keys", self._salted(made, self._of("hot", batch)), batch)
         pairs = materialise(self._pairs(batch), "pairs")
         self._commit(name, batch)
@@ -272,16 +273,22 @@ class History:
         return keys.join(F.broadcast(hot.select("k", "k2", "parts")), ["k", "k2"], "left").withColumn("s", F.pmod(F.xxhash64(F.lit(7), "id"), F.coalesce("parts", F.lit(1))).cast("int"))
 
     def _pairs(self, batch: int) -> DataFrame:
-        new = self._of("keys", batch)
-        asked = new.select("k", "k2", "s").distinct()
-        hot = self.spark.table(self.table("hot")).where(F.col("batch") <= batch).groupBy("k", "k2").agg(F.max("parts").alias("parts"))
-        if not hot.isEmpty():  # a key that was cut in one batch may be whole, or in other parts, in another
-            every = hot.select("k", "k2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
-            asked = asked.unionByName(new.select("k", "k2").distinct().join(F.broadcast(every), ["k", "k2"]).select("k", "k2", "s")).distinct()
-            asked = asked.unionByName(asked.where("s <> 0").select("k", "k2", F.lit(0).alias("s"))).distinct()
+        """Pairs of the batch; only rows of keys that another row has are moved."""
+        new, key = self._of("keys", batch), ["k", "k2", "s"]
+        cut = self.spark.table(self.table("hot")).where(F.col("batch") <= batch).groupBy("k", "k2").agg(F.max("parts").alias("parts"))
+        every = cut.select("k", "k2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
+        sizes = new.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        asked = sizes.select(*key)
+        if some := not cut.isEmpty():  # a key that was cut in one batch may be whole, or in other parts, in another
+            every = self._temp(every.join(new.select("k", "k2").distinct(), ["k", "k2"], "left_semi"), "cut")
+            asked = asked.unionByName(every).distinct()
+        touched = self._temp(self._before("keys", batch).join(asked.hint("shuffle_hash"), key, "left_semi"), "touched")
+        shared = sizes.where("n > 1").select(*key).unionByName(touched.select("k", "k2", F.lit(0).alias("s")))
+        if some:
+            shared = shared.unionByName(every)
         columns = ["k", "k2", "id", F.struct("own", "c").alias("keep"), (F.col("batch") == batch).alias("fresh")]
-        touched = self._temp(self._before("keys", batch).join(asked.hint("shuffle_hash"), ["k", "k2", "s"], "left_semi"), "touched")
-        together = touched.select(*columns).unionByName(new.select(*columns))
+        mine = new.join(shared.distinct().hint("shuffle_hash"), key, "left_semi")
+        together = self._temp(touched.select(*columns).unionByName(mine.select(*columns)), "together")
         met = pairs_within(together, ["k", "k2"], "id", fresh="fresh", keep="keep")
         of_content = F.col("keep_1.own").isNull()
         # equal contents are paired by content alone, and equal names by their own key alone
@@ -318,7 +325,7 @@ class History:
         self._tables()
         for t, df in old.items():
             if t == "hot":
-                self._put(t, _cut(old["keys"].select("k", "k2")), batch)
+                self._put(t, _cut(old["keys"].select("k", "k2"), old["keys"].count()), batch)
             elif t != "keys":
                 self._put(t, df, batch)
         self._put("keys", self._salted(old["keys"].drop("s"), self._of("hot", batch)), batch)
@@ -371,11 +378,19 @@ class History:
         return keyed.select(*_keys(F.lit("n"), F.col("key")), "id", "own", "c")
 
 
-def _cut(keys: DataFrame) -> DataFrame:
-    """Keys with so many rows that they are cut, and into how many parts: at most ``MOST_HOT`` keys."""
-    sizes = keys.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
-    total = F.sum("n").over(Window.partitionBy())  # of the few keys that are left
-    return sizes.withColumn("size", F.greatest(F.lit(HOT), F.floor(total / MOST_HOT))).where("n > size").select("k", "k2", F.ceil(F.col("n") / F.col("size")).cast("int").alias("parts"))
+def _cut(keys: DataFrame, rows: int) -> DataFrame:
+    """Keys with so many rows that they are cut, and into how many parts: at most ``MOST_HOT`` keys of about ``rows``.
+
+    Groups of keys are counted first: only those of groups with as many rows as a hot key has are counted one by one.
+    """
+    size = max(HOT, rows // MOST_HOT)
+    groups = max(1024, min(1 << 20, 16 * rows // size))
+    coarse = F.pmod("k", F.lit(groups)).alias("g")
+    full = [r["g"] for r in keys.groupBy(coarse).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).select("g").collect()]  # at most MOST_HOT
+    held = keys.sparkSession.createDataFrame([(g,) for g in full], "g long")
+    some = keys.join(F.broadcast(held), F.pmod("k", F.lit(groups)) == F.col("g"), "left_semi") if full else keys.limit(0)
+    sizes = some.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
+    return sizes.select("k", "k2", F.ceil(F.col("n") / size).cast("int").alias("parts"))
 
 
 def _parts(named: DataFrame) -> DataFrame:
