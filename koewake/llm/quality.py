@@ -31,96 +31,124 @@ COMMON = {
 ARTICLES = "a an the der die das den dem des ein eine einen einem einer le la les l d de du un une el los las una unos unas del"
 #: Endings and particles of running Korean; particles and endings of Japanese and Chinese.
 COMMON_KO = r"\p{IsHangul}+(?:니다|세요|어요|아요|해요|예요|지요|까요|었다|았다|했다|이다|지만|으면|라면|는데|에서|에게|으로|때문에|기로|도록|면서|거나|고|를|을|는|와의|때도|어도|지|서)(?![\p{IsHangul}])|\p{IsHangul}+(?=[.?!])"
-COMMON_JA = r"ました|ません|ます|です|でした|ている|ていた|った|ので|から|けど|ない|なら|して|って|という|ください|は|を|が|に|で|も|よ|ね|と"
+COMMON_JA = r"[はをがにもよね]|ま(?:した|せん|す)|で(?:す|した)?|て(?:いる|いた)|っ[たて]|ので|から|けど|な[いら]|して|と(?:いう)?|ください"
 COMMON_ZH = r"[了是在没就也都很和这不有请会被们从到给还比可但因所吗呢着谁要让那我你他她它说]"
 
 NAMES = ["common", "symbols", "digits", "ends", "word_len", "marker", "stops"]
 #: The end of a sentence: a letter, then a full stop, but no file type or number.
-STOP = r"[\p{L}\p{M}][\"”’')»]?[.!?…]+[\"”’')»]*(?=\s|$)|[。！？]"
+STOP = r"[.!?…]+(?<=[\p{L}\p{M}][\"”’')»]?[.!?…]{1,9})[\"”’')»]*(?=\s|$)|[。！？]"
 CLOSING = r"[.!?。！？…．]+[\p{Pe}\p{Pf}\p{Pi}\"']*\s*$"
 _NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
-_CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]"
+_CJK = r"[\x{3005}-\x{3007}\x{3041}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9D}\x{20000}-\x{3FFFF}]"
+#: Punctuation of running text, and marks of emphasis around its words.
+_PUNCTUATION = ".,!?;:'()\"*_。、，．！？；：「」『』（）…・‥“”‘’«»¿¡〜～-"
 
 
 def _lit(s: str) -> str:
     return "r'" + s.replace("'", "\\x{27}") + "'"
 
 
+def _text(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _without(x: str, pattern: str) -> str:
+    """SQL of how many signs of ``x`` match a pattern of one sign."""
+    return f"(length({x}) - length(regexp_replace({x}, {_lit(pattern)}, '')))"
+
+
 def _counts(x: str) -> dict[str, str]:
     """SQL of what is counted in line ``x``, each once."""
     words = sorted({w for ws in COMMON.values() for w in ws.split()} - set(ARTICLES.split()))
     known = ", ".join(f"'{w}'" for w in words)
-    split = f"filter(split(lower(regexp_replace({x}, {_lit(_CJK + '+')}, ' ')), {_lit(_NO_WORD)}), w -> length(w) > 0)"
+    spaced = f"CASE WHEN {x} RLIKE {_lit(_CJK)} THEN regexp_replace({x}, {_lit(_CJK)}, ' ') ELSE {x} END"
+    split = f"split(lower(s), {_lit(_NO_WORD)})"  # empty at the ends only
+    n = "size(ws) - CAST(ws[0] = '' AS INT) - CAST(size(ws) > 1 AND element_at(ws, -1) = '' AS INT)"
     korean = f"CASE WHEN {x} RLIKE {_lit(r'[가-힣]')} THEN regexp_count({x}, {_lit(COMMON_KO)}) ELSE 0 END"
     kana = f"CASE WHEN {x} RLIKE {_lit('[ぁ-ゖ]')} THEN regexp_count({x}, {_lit(COMMON_JA)}) WHEN {x} RLIKE {_lit(r'[一-鿿]')} THEN regexp_count({x}, {_lit(COMMON_ZH)}) ELSE 0 END"
-    shown = _lit(r"[^\p{L}\p{M}\p{N}\s.,!?;:'()。、，．！？；：「」『』（）…・‥“”‘’«»¿¡ー〜～-]")
+    marks = f"regexp_replace({x}, {_lit(r'[\p{L}\p{M}\p{N}\sー]+')}, '')"  # few, so each is looked up
     return {
-        "words": f"transform(array({split}), ws -> named_struct('n', size(ws), 'known', size(filter(ws, w -> w IN ({known})))))[0]",
-        "cjk": f"CASE WHEN {x} RLIKE {_lit(_CJK)} THEN regexp_count({x}, {_lit(_CJK)}) ELSE 0 END",
+        # East Asian signs are those that spaces took the place of
+        "words": f"transform(array({spaced}), s -> transform(array({split}), ws -> named_struct('n', {n}, 'known', size(filter(ws, w -> w IN ({known}))), "
+        f"'cjk', length(replace({x}, ' ', '')) - length(replace(s, ' ', ''))))[0])[0]",
         "particles": f"{korean} + {kana}",
-        "symbols": f"regexp_count({x}, {shown})",
-        "digits": f"regexp_count({x}, '[0-9０-９]')",
+        "symbols": f"length(translate({marks}, {_text(_PUNCTUATION)}, ''))",
+        "digits": _without(x, "[0-9０-９]"),
         "signs": f"length({x})",
-        "ends": f"CAST({x} RLIKE {_lit(CLOSING)} AS INT)",
+        "ends": f"CAST(right({x}, 12) RLIKE {_lit(CLOSING)} AS INT)",
         "inked": f"length(replace({x}, ' ', ''))",
         "marker": f"CAST({x} RLIKE {_lit(r'^(?:[-*•・+#]|[(\[]?[0-9x ]{1,4}[.)\]])\s')} AS INT)",
         "stops": f"regexp_count({x}, {_lit(STOP)})",
     }
 
 
-def _line_struct(x: str) -> str:
-    """SQL of the features of line ``x``; what several of them need is bound first, so it is worked out once."""
-    counts = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in _counts(x).items()) + ")"
-    size, units = "greatest(c.signs, 1)", "greatest(c.words.n + c.cjk / 2.5D, 1D)"
+def _counted(xs: str) -> str:
+    """SQL of what is counted in each of the lines ``xs``."""
+    return f"transform({xs}, x -> named_struct(" + ", ".join(f"'{k}', CAST({v} AS DOUBLE)" if k != "words" else f"'words', {v}" for k, v in _counts("x").items()) + "))"
+
+
+#: Signs of a line from which it is judged alone, and of its neighbours that are seen with a shorter one.
+ALONE, BESIDE = 120, 80
+
+
+def _features(cs: str) -> str:
+    """SQL of the features of each line, from what was counted in the lines ``cs``.
+
+    Each short line counts with its neighbours, as wrapped sentences go on over several lines; a long neighbour by the
+    share of it that is seen.
+    """
+    beside = lambda at: f"named_struct('v', CASE WHEN c.signs < {ALONE} THEN {at} END, 'w', least(1D, {BESIDE} / greatest({at}.signs, 1D)))"
+    around = [beside(f"(CASE WHEN i > 0 THEN {cs}[i - 1] END)"), beside(f"try_element_at({cs}, i + 2)")]
+    seen = f"filter(array(named_struct('v', c, 'w', 1D), {', '.join(around)}), s -> s.v IS NOT NULL)"
+    names = {"n": "v.words.n", "known": "v.words.known", "cjk": "v.words.cjk", **{k: f"v.{k}" for k in ("particles", "symbols", "digits", "signs", "inked", "stops", "ends")}}
+    zero = "named_struct(" + ", ".join(f"'{k}', 0D" for k in [*names, "lines"]) + ")"
+    step = "named_struct(" + ", ".join(f"'{k}', a.{k} + s.w * s.{v}" for k, v in names.items() if k != "ends") + ", 'ends', a.ends + s.v.ends, 'lines', a.lines + 1D)"
+    size, units = "greatest(t.signs, 1D)", "greatest(t.n + t.cjk / 2.5D, 1D)"
     features = {
-        "common": f"(c.words.known + c.particles) / {units}",
-        "symbols": f"c.symbols / {size}",
-        "digits": f"c.digits / {size}",
+        "common": f"(t.known + t.particles) / {units}",
+        "symbols": f"t.symbols / {size}",
+        "digits": f"t.digits / {size}",
         "signs": "c.signs",
-        "ends": "c.ends",
-        "word_len": f"c.inked / {units}",
+        "ends": "t.ends / t.lines",
+        "word_len": f"t.inked / {units}",
         "marker": "c.marker",
-        "stops": f"c.stops / {units}",
+        "stops": f"t.stops / {units}",
     }
-    return f"transform(array({counts}), c -> named_struct(" + ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in features.items()) + "))[0]"
+    made = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in features.items()) + ")"
+    return f"transform({cs}, (c, i) -> aggregate({seen}, {zero}, (a, s) -> {step}, t -> {made}))"
 
 
-#: Blanks that Java's patterns don't count as such.
-BLANKS = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+#: Blanks that Java's patterns don't count as such, and what ends a line.
+BLANKS = r"[\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+BREAKS = r"[\n\x{0B}\f\r\x{85}\x{2028}\x{2029}]"
 
 
 def _bare(x: str) -> str:
-    """A line without the marks of quoting, the name of a speaker that has text behind it, controls, and outer blanks."""
-    return rf"regexp_replace(regexp_replace(regexp_replace({x}, r'^(?:\s*>)+\s?', ''), r'^[\p{{L}}\p{{M}}]{{1,12}}\s?[:：](?=\s*[^\s\p{{Cf}}])', ''), r'[\p{{Cf}}]|^\s+|\s+$', '')"
+    """A trimmed line without the marks of quoting, and the name of a speaker that has text behind it."""
+    x = f"CASE WHEN left({x}, 1) = '>' THEN regexp_replace({x}, {_lit(r'^(?:\s*>)+\s*')}, '') ELSE {x} END"
+    return f"regexp_replace({x}, {_lit(r'^[\p{L}\p{M}]{1,12}\s?[:：]\s*(?=\S)')}, '')"
 
 
 def _lines(text: str) -> str:
     """SQL of the lines that show something: ``x`` is what is judged, maybe empty, ``signs`` what the whole line shows."""
-    shown = r"length(regexp_replace(l, r'[\p{Cf}]|^\s+|\s+$', ''))"
-    return rf"filter(transform(split(translate({text}, '{BLANKS}', '{' ' * len(BLANKS)}'), r'\R'), l -> named_struct('x', {_bare('l')}, 'signs', {shown})), l -> l.signs > 0)"
+    hidden = f"CASE WHEN {text} RLIKE {_lit(r'[\p{Cf}]')} THEN regexp_replace({text}, {_lit(r'[\p{Cf}]+')}, '') ELSE {text} END"
+    split = f"split(regexp_replace({hidden}, {_lit(BLANKS)}, ' '), {_lit(BREAKS)})"
+    shown = f"filter(transform({split}, l -> trim(BOTH ' \t' FROM l)), l -> length(l) > 0)"
+    return f"transform({shown}, l -> named_struct('x', {_bare('l')}, 'signs', length(l)))"
 
 
 def _judged(lines: str, what: str) -> str:
     return f"transform(filter({lines}, l -> length(l.x) > 0), l -> l.{what})"
 
 
-#: Signs of a line from which it is judged alone, and of its neighbours that are seen with a shorter one.
-ALONE, BESIDE = 120, 80
-#: Each short line between its neighbours, as wrapped sentences go on over several lines.
-_WINDOWS = (
-    f"transform(xs, (x, i) -> CASE WHEN length(x) >= {ALONE} THEN x ELSE concat_ws(' ', x, right(CASE WHEN i > 0 THEN xs[i - 1] END, {BESIDE}), "
-    f"left(try_element_at(xs, i + 2), {BESIDE})) END)"
-)
-
-
 _LEARNED: dict[tuple[int, int], list[rules.Rule]] = {}
 
 
 def line_features(spark: SparkSession, documents: list[tuple[list[str], bool]]) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the lines of labelled documents, computed by the SQL that the corpus is measured by."""
     df = spark.createDataFrame([("\n".join(xs), prose) for xs, prose in documents], "text string, prose boolean")
-    df = df.selectExpr(_lines("text") + " AS ls", "prose").selectExpr(_judged("ls", "x") + " AS xs", "prose").where("size(xs) > 0").selectExpr(f"explode({_WINDOWS}) AS w", "prose")
-    got = df.selectExpr(_line_struct("w") + " AS f", "prose").select("f.*", "prose").toPandas()
+    df = df.selectExpr(_lines("text") + " AS ls", "prose").selectExpr(_judged("ls", "x") + " AS xs", "prose").where("size(xs) > 0").selectExpr(f"explode(array({_counted('xs')})) AS cs", "prose")
+    got = df.selectExpr(f"explode({_features('cs')}) AS f", "prose").select("f.*", "prose").toPandas()
     return got[NAMES].to_numpy(float), got["prose"].to_numpy(bool)
 
 
@@ -151,7 +179,8 @@ def statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text", learne
     docs = spread(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     lines = docs.selectExpr("doc_id", "text", f"{once(_lines('coalesce(text, {empty})'.format(empty=repr(''))))} AS ls")
     lines = lines.selectExpr("doc_id", "text", "ls", f"{once(_judged('ls', 'x'))} AS xs")
-    measured = lines.selectExpr("doc_id", "text", "ls", "xs", f"{once(f'transform({_WINDOWS}, w -> {_line_struct(chr(119))})')} AS fs")
+    counted = lines.selectExpr("doc_id", "text", "ls", "xs", f"{once(_counted('xs'))} AS cs")
+    measured = counted.selectExpr("doc_id", "text", "ls", "xs", "cs", f"{once(_features('cs'))} AS fs")
     judged = measured.selectExpr("*", f"transform(fs, f -> {rules.to_sql(learned, 'f.')}) AS junk", f"transform({_judged('ls', 'signs')}, n -> CAST(n AS DOUBLE)) AS own")
     total = lambda what: f"aggregate(fs, 0D, (a, f) -> a + {what})"
     n = "aggregate(ls, 0D, (a, l) -> a + l.signs)"
@@ -165,7 +194,7 @@ def statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text", learne
         f"length(regexp_replace(text, r'\\s+', '')) / greatest({words}, 1) AS mean_word_length",
         f"{mean('f.symbols')} AS symbol_share",
         f"{mean('f.digits')} AS digit_share",
-        f"size(filter(xs, x -> x RLIKE {_lit(CLOSING)})) / greatest(size(xs), 1) AS lines_ending_in_punctuation",
+        "aggregate(cs, 0D, (a, c) -> a + c.ends) / greatest(size(xs), 1) AS lines_ending_in_punctuation",
         f"{mean('f.common')} AS common_share",
         f"aggregate(zip_with(own, junk, (v, k) -> CASE WHEN k THEN 0D ELSE v END), 0D, (a, v) -> a + v) / greatest({n}, 1D) AS prose_share",
         f"{n} > 0 AS some",
