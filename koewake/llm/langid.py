@@ -2,8 +2,9 @@
 
 Method: a byte convolutional network. Bytes are embedded, filters of several widths run over them, each filter's
 largest answer is kept, and a softmax gives the languages. It is trained in numpy, on a sample of labelled rows whose
-size is bounded by a parameter and on a few written sentences; rows whose label the half-trained network contradicts
-are left out before it goes on. It is applied to batches of windows of fixed length; a longer segment is the mean of
+size is bounded by a parameter, on some of its Japanese rows in Latin letters, and on a few written sentences; rows
+whose label the half-trained network contradicts are left out before it goes on. A trained network is stored with the
+hash of its sample and not trained again for the same one. It is applied to batches of windows of fixed length; a longer segment is the mean of
 its windows.
 
 Defined results: a text that is null, empty or without letters has no segments and no language; the language with the
@@ -15,6 +16,8 @@ sentences whole.
 
 from __future__ import annotations
 
+import hashlib
+import io
 import math
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -29,7 +32,7 @@ from koewake.functions.labels import clean_label
 from koewake.llm.lookalike import DRAWN_ALIKE
 from koewake.llm.quality_samples import NAMES as PEOPLE
 from koewake.llm.quality_samples import SENTENCES
-from koewake.session import ship, spread
+from koewake.session import scratch, ship, spread
 
 LANGS = ("ja", "en", "zh", "ko", "de", "fr", "es")
 #: Codes and names of the languages.
@@ -42,15 +45,16 @@ CALLED = {
     "fr": "fr fra fre french französisch français francés フランス語 法语 프랑스어",
     "es": "es spa spanish spanisch espagnol español castellano スペイン語 西班牙语 스페인어",
 }
-#: Japanese in Latin letters, which samples hold little of.
-ROMAJI = (
-    "watashi wa kinou eki de tomodachi ni aimashita", "hontou ni arigatou, mou sukoshi dake matte kudasai",
-    "nee, doushite sonna koto wo itta no", "ashita wa ame ga furu kara, kasa wo motte itte ne", "kono hon wa totemo omoshirokatta desu",
-    "mou ichido dake hanashite kudasai, onegai shimasu", "dare mo inai heya de hitori de utatte ita", "ureshii kara minna de odorou yo",
-)
+#: Kana and how they are written in Latin letters; what is put together follows by rule.
+KANA = dict(zip(
+    "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをんがぎぐげござじずぜぞだぢづでどばびぶべぼぱぴぷぺぽゔ",
+    "a i u e o ka ki ku ke ko sa shi su se so ta chi tsu te to na ni nu ne no ha hi fu he ho ma mi mu me mo ya yu yo ra ri ru re ro wa wo n "
+    "ga gi gu ge go za ji zu ze zo da ji zu de do ba bi bu be bo pa pi pu pe po vu".split(),
+))
+PARTICLES = {"は": "wa", "へ": "e"}
 WINDOW, STRIDE = 64, 48
-#: Bound of the labelled rows that the network is trained on.
-MOST_LABELLED = 12_000
+#: Bounds of the labelled rows that the network is trained on: their number, and the code points of each.
+MOST_LABELLED, LONGEST = 12_000, 400
 
 _LATIN = {ord(c): g[0] for g in DRAWN_ALIKE if g[0].isascii() and g[0].isalpha() for c in g[1:]}
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}︀-️--[\t\n\r]]", regex.V1)
@@ -64,6 +68,8 @@ _END = regex.compile(r"(?:[!?。！？…]|\.(?=[\s\"”’'」』)\]…¿¡]|$|
 # quoted or bracketed whole sentences inside a line
 _INNER = regex.compile(r"[「『(\"“]([^「『(\"“」』)\"”]*[.!?。！？…])[」』)\"”]")
 
+_KANA_RUN = regex.compile(r"[\u3041-\u3096\u30A1-\u30FAー]+")
+
 # its own end mark; what shows that a quoting sentence goes on; the ending of a Korean sentence of one word
 _CLOSED = regex.compile(r"[.!?。！？…][\"”’」』)\]]*$")
 _GOES_ON = regex.compile(r"\s*[,、，]?\s*(?:\p{Ll}|と|って|이?라고)")
@@ -88,6 +94,29 @@ def plain(text: str) -> str:
     return _DIGITS.sub("0", unicodedata.normalize("NFC", s).lower())
 
 
+def romanised(text: str) -> str:
+    """The kana of a Japanese text in Latin letters; characters, whose reading it doesn't know, part its words."""
+    words = []
+    for run in _KANA_RUN.findall(unicodedata.normalize("NFKC", text)):
+        run = "".join(chr(ord(c) - 0x60) if "ァ" <= c <= "ヶ" else c for c in run)
+        out, twice = PARTICLES.get(run, ""), False
+        for c in "" if out else run:
+            if c == "っ":
+                twice = True
+            elif c in "ゃゅょ" and out.endswith("i"):
+                y = "auo"["ゃゅょ".index(c)]
+                out = out[:-1] + (y if out.endswith(("shi", "chi", "ji")) else "y" + y)
+            elif c in "ぁぃぅぇぉ" and out:
+                out = out[:-1] + "aiueo"["ぁぃぅぇぉ".index(c)]
+            elif c in KANA:
+                x = KANA[c]
+                out += ("t" if x[0] == "c" else x[0] if twice and x[0] not in "aiueon" else "") + x if twice else x
+                twice = False
+        if out:
+            words.append(out)
+    return " ".join(words)
+
+
 def segments(text: str) -> list[str]:
     """The sentences of a text that hold letters, in order."""
     s = _INNER.sub(lambda m: f"\n{m[1]}\n", _HIDDEN.sub("", text))
@@ -122,6 +151,18 @@ class ByteNet:
             self.p[f"c{k}"] = np.zeros(filters)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, widths=np.array(self.widths), **self.p)
+        return out.getvalue()
+
+    @staticmethod
+    def from_bytes(data: bytes) -> ByteNet:
+        held = dict(np.load(io.BytesIO(data)))
+        net = ByteNet(widths=tuple(int(k) for k in held.pop("widths")))
+        net.p = held
+        return net
+
     def _forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
         e = self.p["e"][x]
         n, length, dim = e.shape
@@ -145,10 +186,9 @@ class ByteNet:
         d = z.copy()
         d[np.arange(len(y)), y] -= 1
         d /= len(y)
-        g = {"w": h.T @ d, "b": d.sum(0)}
+        g = {"w": h.T @ d, "b": d.sum(0), "e": np.zeros(self.p["e"].size)}
         dh = (d @ self.p["w"].T) * (h > 0)
         dim = self.p["e"].shape[1]
-        de = np.zeros((len(x), WINDOW, dim), np.float32)
         row = np.arange(len(x))[:, None]
         for j, (k, (view, at)) in enumerate(zip(self.widths, kept)):
             f = self.p[f"f{k}"]
@@ -156,18 +196,18 @@ class ByteNet:
             seen = view[row, at]  # what each filter's largest answer looked at
             g[f"f{k}"] = np.einsum("nfd,nf->df", seen, part)
             g[f"c{k}"] = part.sum(0)
-            back = part[:, :, None] * f.T[None]
-            for o in range(k):
-                np.add.at(de, (row, at + o), back[:, :, o * dim : (o + 1) * dim])
-        g["e"] = np.zeros_like(self.p["e"])
-        np.add.at(g["e"], x, de)
+            back = part[:, :, None] * f.T[None]  # goes to the bytes that were looked at
+            byte = x[row[:, :, None], at[:, :, None] + np.arange(k)].astype(np.int64)
+            g["e"] += np.bincount((byte[..., None] * dim + np.arange(dim)).ravel(), back.ravel(), len(g["e"]))
+        g["e"] = g["e"].reshape(self.p["e"].shape).astype(np.float32)
         return g
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 0.004, batch: int = 64, seed: int = 0) -> None:
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
-        step = 0
+        mean = {k: np.zeros_like(w) for k, w in self.p.items()}
+        step = taken = 0
         for epoch in range(epochs):
             order = r.permutation(len(x))
             for i in range(0, len(x), batch):
@@ -178,6 +218,12 @@ class ByteNet:
                     v[k] = 0.99 * v[k] + 0.01 * g * g
                     now = rate * (1 - epoch / (epochs + 1))
                     self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                if epoch >= epochs // 2:  # the mean of the later steps is steadier than the last of them
+                    taken += 1
+                    for k, w in self.p.items():
+                        mean[k] += (w - mean[k]) / taken
+        if taken:
+            self.p = mean
 
     def languages(self, texts: list[str]) -> np.ndarray:
         """Probabilities of the languages of plain texts."""
@@ -202,8 +248,10 @@ def fit(labelled: list[tuple[str, str]], epochs: int = 6, seed: int = 0) -> Byte
         for i, s in enumerate(sentences):
             texts.append(plain(s.format(n=PEOPLE[i % 9], d=7)))
             y.append(LANGS.index(lang))
-    texts += [plain(s) for s in ROMAJI]
-    y += [LANGS.index("ja")] * len(ROMAJI)
+    latin = [r for t, lang in labelled if lang == "ja" and len(segments(t)) == 1 and len(r := romanised(t)) >= 12]
+    latin = latin[:: max(1, -(-len(latin) // (len(labelled) // 12 + 1)))]  # Japanese in Latin letters, which samples hold little of
+    texts += [plain(s) for s in latin]
+    y += [LANGS.index("ja")] * len(latin)
     x, owner = _windows(texts)
     y = np.array(y)[owner]
     net = ByteNet(seed=seed)
@@ -215,12 +263,15 @@ def fit(labelled: list[tuple[str, str]], epochs: int = 6, seed: int = 0) -> Byte
     return net
 
 
-def labelled_sample(df: DataFrame, id_col: str, text: str, label: str, most: int = MOST_LABELLED) -> list[tuple[str, str]]:
-    """At most ``most`` rows with a label that names a language, spread over the scripts that their texts are in."""
+def labelled_sample(df: DataFrame, id_col: str, text: str, label: str, most: int = MOST_LABELLED, longest: int = LONGEST) -> list[tuple[str, str]]:
+    """At most ``most`` rows with a label that names a language, spread over the scripts that their texts are in.
+
+    Texts of more than ``longest`` code points are read like any other, but the network isn't trained on them.
+    """
     t = F.col(text)
     has = lambda p: t.rlike(p).cast("string")
     script = F.concat(has(r"[\p{IsHiragana}\p{IsKatakana}]"), has(r"\p{IsHangul}"), has(r"\p{IsHan}"), has(r"\p{IsLatin}"))
-    src = df.select(F.col(id_col).alias("id"), t.alias("text"), named_language(F.col(label)).alias("lang"), script.alias("script")).where("lang is not null AND length(text) BETWEEN 1 AND 400")
+    src = df.select(F.col(id_col).alias("id"), t.alias("text"), named_language(F.col(label)).alias("lang"), script.alias("script")).where(F.col("lang").isNotNull() & F.length("text").between(1, longest))
     counts = {r["script"]: r["count"] for r in src.groupBy("script").count().collect()}  # 16 kinds at most
     only_latin = "falsefalsefalsetrue"
     share = lambda s: most // 2 if s == only_latin else most // 12
@@ -228,8 +279,34 @@ def labelled_sample(df: DataFrame, id_col: str, text: str, label: str, most: int
         return []
     bound = _lookup({s: int(min(1.0, share(s) / n) * 1_000_000) for s, n in counts.items()})
     keep = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < F.try_element_at(bound, F.col("script"))
-    rows = src.where(keep).select("text", "lang", F.xxhash64("id", F.lit(6)).alias("o")).limit(most).collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: r["o"])]
+    rows = src.where(keep).select("text", "lang", F.xxhash64("id", F.lit(6)).alias("o")).limit(2 * most).collect()  # about as many as ``most``
+    return [(t, lang) for _, t, lang in sorted((r["o"], r["text"], r["lang"]) for r in rows)[:most]]
+
+
+#: Part of a stored network's name: another number for another way of training.
+_TRAINING = 3
+_FITTED: dict[str, ByteNet] = {}
+
+
+def network(df: DataFrame, id_col: str, text: str, label: str, store: str | None = None) -> ByteNet:
+    """The network of a labelled table: trained once for a sample, and read again whenever the sample is the same.
+
+    It is kept in this process and under ``store``, or else in the shared folder of the session; a folder that outlives
+    sessions spares the training in each of them.
+    """
+    spark = df.sparkSession
+    sample = labelled_sample(df, id_col, text, label)
+    key = hashlib.sha256(repr((_TRAINING, sample, KANA, SENTENCES)).encode("utf-8", "replace")).hexdigest()[:24]
+    if key not in _FITTED:
+        path = f"{(store or scratch(spark)).rstrip('/')}/koewake-langid-{key}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            row = (fit(sample).to_bytes(),)
+            spark.createDataFrame([row], "weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+        while len(_FITTED) >= 8:
+            _FITTED.pop(next(iter(_FITTED)))
+        _FITTED[key] = ByteNet.from_bytes(bytes(spark.read.parquet(path).first()[0]))
+    return _FITTED[key]
 
 
 class Reader:
@@ -322,7 +399,7 @@ def read_languages(df: DataFrame, id_col: str, text: str, net: ByteNet, keep: li
 
 def wrong_labels(df: DataFrame, id_col: str, text: str, label: str, net: ByteNet | None = None) -> DataFrame:
     """``(id, lang)``: each language of the texts that aren't in exactly the one language that their label names."""
-    net = net or fit(labelled_sample(df, id_col, text, label))
+    net = net or network(df, id_col, text, label)
     src = df.withColumn("named", named_language(F.col(label)))
     read = read_languages(src, id_col, text, net, ["named"])
     return read.where(~F.col("langs").eqNullSafe(F.array("named"))).select("id", F.explode("langs").alias("lang"))
@@ -330,6 +407,6 @@ def wrong_labels(df: DataFrame, id_col: str, text: str, label: str, net: ByteNet
 
 def language_segments(df: DataFrame, id_col: str, text: str, label: str, net: ByteNet | None = None) -> DataFrame:
     """``(id, place, segment, lang, confidence)`` of every segment of every text."""
-    net = net or fit(labelled_sample(df, id_col, text, label))
+    net = net or network(df, id_col, text, label)
     read = read_languages(df, id_col, text, net)
     return read.select("id", F.posexplode("segments").alias("place", "s")).select("id", "place", "s.segment", "s.lang", "s.confidence")

@@ -84,3 +84,19 @@ def test_short_whole_sentences_count():
 def test_short_whole_sentences_are_reported(spark, net):
     df = spark.createDataFrame([(1, "家に忘れたけど、誰も気づかなかった。우리는 있었습니다.", "ja")], "id long, text string, language string")
     assert sorted(map(tuple, L.wrong_labels(df, "id", "text", "language", net).collect())) == [(1, "ja"), (1, "ko")]
+
+
+def test_romanised():
+    for text, want in [("わたしは駅へ行った", "watashiha e tta"), ("きょう", "kyou"), ("ちょっとマッチ", "chottomatchi"), ("シャツとジュース", "shatsutojusu"), ("ファンと学校", "fanto"), ("私は", "wa"), ("日本", ""), ("ｶﾞｯｺｳ", "gakkou"), ("っ", "")]:
+        assert L.romanised(text) == want, text
+
+
+def test_network_is_trained_once(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(labelled(THINGS))], "id long, t string, l string")
+    net = L.network(df, "id", "t", "l", str(tmp_path))
+    monkeypatch.setattr(L, "fit", None)  # no more training
+    assert L.network(df.repartition(3), "id", "t", "l", str(tmp_path)) is net
+    L._FITTED.clear()
+    again = L.network(df, "id", "t", "l", str(tmp_path))
+    x = ["hello there", "忘れないで"]
+    assert again is not net and np.array_equal(again.languages(x), net.languages(x))
