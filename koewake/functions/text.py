@@ -30,6 +30,10 @@ FILLERS = tuple(
 MIN_CHARS = 2
 
 
+#: Where the code points lie that the first two rules change.
+WIDTHS = r"[\x{FF10}-\x{FF5A}\x{FF66}-\x{FF9F}]"
+
+
 def full_kana(x: Column) -> Column:
     return F.translate(x, HALF_KANA, FULL_KANA)
 
@@ -55,7 +59,9 @@ def strip_blanks(x: Column) -> Column:
 
 def normalize_japanese(x: Column) -> Column:
     """The five rules in their fixed order. Controls go after blanks are squeezed, so a second pass may change more."""
-    return reduce(lambda y, f: f(y), (full_kana, plain_alnum, squeeze_blanks, strip_controls, strip_blanks), x)
+    # few texts have signs of another width; both rules together are one look-up for each sign
+    plain = F.when(x.rlike(WIDTHS), F.translate(x, HALF_KANA + FULL_ALNUM, FULL_KANA + PLAIN_ALNUM)).otherwise(x)
+    return reduce(lambda y, f: f(y), (squeeze_blanks, strip_controls, strip_blanks), plain)
 
 
 def is_non_verbal(x: Column) -> Column:
@@ -76,13 +82,8 @@ def is_filler(x: Column) -> Column:
     return (b == "") | b.isin(*FILLERS)
 
 
-def filter_reason(x: Column, min_chars: int = MIN_CHARS) -> Column:
-    """Why a text is not worth keeping, the first reason that holds; the empty string where none does.
-
-    Null counts as empty.
-    """
-    s = strip_blanks(F.coalesce(x, F.lit("")))
-    b = bare_text(s)
+def reason_of(s: Column, b: Column, min_chars: int = MIN_CHARS) -> Column:
+    """As ``filter_reason``, of a text without outer blanks and its ``bare_text``, which several of the rules need."""
     return (
         F.when(s == "", "empty")
         .when(is_non_verbal(s), "non_verbal")
@@ -93,6 +94,15 @@ def filter_reason(x: Column, min_chars: int = MIN_CHARS) -> Column:
     )
 
 
+def filter_reason(x: Column, min_chars: int = MIN_CHARS) -> Column:
+    """Why a text is not worth keeping, the first reason that holds; the empty string where none does.
+
+    Null counts as empty.
+    """
+    s = strip_blanks(F.coalesce(x, F.lit("")))
+    return reason_of(s, bare_text(s), min_chars)
+
+
 def pipe_escape(x: Column) -> Column:
     return F.replace(F.coalesce(x, F.lit("")), F.lit("|"), F.lit(" "))
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from koewake import schema as S
 from koewake.session import materialise
 
 KEY = ["file_name", "file_hash"]
@@ -30,30 +29,35 @@ def last_of_key(rows: DataFrame) -> DataFrame:
 def upsert_pending(cache: DataFrame, incoming: DataFrame, now: Column | None = None) -> DataFrame:
     """Incoming keys become pending, new ones get ids after the highest by path; all other rows stay.
 
-    New ids come from counts per sorted partition, not from one task.
+    A column ``issue``, where ``incoming`` has it, makes its rows filtered instead, for that issue. Which keys are new is found from keys alone; the cache itself is joined once. New ids come from counts per sorted
+    partition, not from one task.
     """
     new_values = ["file_path", "file_size", "duration_ms", "source_dir"]
-    src = last_of_key(incoming.select(*KEY, *new_values)).select(*KEY, *(F.col(c).alias("_" + c) for c in new_values), F.lit(True).alias("_in"))
-    both = cache.join(src, KEY, "full_outer")
+    issue = "issue" in incoming.columns
+    src = last_of_key(incoming.select(*KEY, *new_values, *(["issue"] if issue else [])))
+    keys = cache.select(*KEY)
+    fresh = _numbered(src.join(keys, KEY, "left_anti"), cache.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+    src = src.join(keys, KEY, "left_semi").withColumn("id", F.lit(None).cast("long")).unionByName(fresh)
+    src = src.select(*KEY, F.col("id").alias("_id"), *(F.col(c).alias("_" + c) for c in new_values), (F.col("issue") if issue else F.lit(None).cast("string")).alias("_issue"), F.lit(True).alias("_in"))
     hit = F.coalesce(F.col("_in"), F.lit(False))
-    out = both.withColumns(
+    state = F.when(F.col("_issue").isNotNull(), "filtered").otherwise("pending")
+    return cache.join(src, KEY, "full_outer").withColumns(
         {c: F.when(hit, F.col("_" + c)).otherwise(F.col(c)) for c in new_values}
-        | {"status": F.when(hit, "pending").otherwise(F.col("status")), "error_msg": F.when(~hit, F.col("error_msg"))}
+        | {"id": F.coalesce("id", "_id"), "status": F.when(hit, state).otherwise(F.col("status")), "error_msg": F.when(~hit, F.col("error_msg"))}
+        | ({"quality_issues": F.coalesce("_issue", "quality_issues")} if issue else {})
         | ({} if now is None else {"updated_at": F.when(hit, now).otherwise(F.col("updated_at")), "created_at": F.coalesce("created_at", now)})
-    ).drop("_in", *("_" + c for c in new_values))
-    return _with_ids(out).select(*cache.columns)
+    ).select(*cache.columns)
 
 
-def _with_ids(rows: DataFrame) -> DataFrame:
-    """Fills null ids after the highest one, in the order of path and key: a distributed sort, and counts of its partitions."""
-    top = rows.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new = rows.where("id IS NULL").select(*KEY, "file_path").repartitionByRange("file_path", *KEY).sortWithinPartitions("file_path", *KEY)
-    new = materialise(new.select(*KEY, F.monotonically_increasing_id().alias("_at")), "new-ids")  # partition and place in it
+def _numbered(rows: DataFrame, top: int) -> DataFrame:
+    """Rows with ids after ``top``, in the order of path and key: a distributed sort, and counts of its partitions."""
+    new = rows.repartitionByRange("file_path", *KEY).sortWithinPartitions("file_path", *KEY)
+    new = materialise(new.withColumn("_at", F.monotonically_increasing_id()), "new-ids")  # partition and place in it
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     held = new.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_held"))
     offsets = held.select("_part", (F.sum("_held").over(W.orderBy("_part")) - F.col("_held")).alias("_before"))  # a row for each partition
-    numbered = new.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(*KEY, (F.col("_before") + place + F.lit(top + 1)).alias("_id"))
-    return rows.join(numbered, KEY, "left").withColumn("id", F.coalesce("id", "_id")).drop("_id")
+    numbered = new.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.select(*rows.columns, (F.col("_before") + place + F.lit(top + 1)).alias("id"))
 
 
 def mark_processing(cache: DataFrame, keys: DataFrame, now: Column | None = None) -> DataFrame:
@@ -118,8 +122,3 @@ def rename(cache: DataFrame, renames: DataFrame) -> DataFrame:
 def pending(cache: DataFrame, source_dir: Column | None = None) -> DataFrame:
     rows = cache.where("status = 'pending'")
     return rows if source_dir is None else rows.where(F.col("source_dir") == source_dir)
-
-
-def legal_statuses(rows: DataFrame) -> Column:
-    """Whether each row's status is one of the known ones."""
-    return rows["status"].isin(*S.STATUSES)

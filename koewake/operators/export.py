@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import shutil
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -14,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from koewake.functions.text import pipe_escape
+from koewake.session import materialise
+from koewake.sources import files
+from koewake.sources.files import Folder
 
 VERSION = re.compile(r"^v(\d+)$")
 
@@ -66,28 +68,34 @@ def next_version_of(names: DataFrame, column: str) -> DataFrame:
     return names.agg((F.coalesce(F.max(n), F.lit(0)).cast("long") + 1).alias("next_version"))
 
 
+def _indented(last: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [json.dumps(json.loads(d), ensure_ascii=False, indent=2) + ("" if i == last else ",") for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+
+    return run
+
+
 def write(cache: DataFrame, root: str, speaker: str = "heroine", language: str = "ja", only_latest: bool = False, copy_files: bool = True) -> str:
     """Writes the next version under ``root`` and returns its path; an empty cache writes nothing and returns ``''``.
 
-    The rows are streamed to the driver in order of id, one partition at a time, because each file must be one file.
-    Recordings are copied by the executors, which must see ``root`` and the recordings.
+    The lines are sorted and written in parallel, and the parts joined to one file by the driver, which streams them.
+    Recordings are copied by the executors. ``root`` may be on any file system that all of them see.
     """
     done = cache.where("status = 'done'")
-    if only_latest:
-        done = latest(done)
-    if done.isEmpty():
+    done = materialise(latest(done) if only_latest else done, "export").orderBy("id")
+    last = done.agg(F.max("id")).first()[0]
+    if last is None:
         return ""
-    os.makedirs(root, exist_ok=True)
-    out = os.path.join(root, f"v{next_version(os.listdir(root))}")
-    os.makedirs(out)
-    with open(os.path.join(out, "list.txt"), "w", encoding="utf-8") as f:
-        for r in list_lines(done, speaker, language).orderBy("id").toLocalIterator():
-            f.write(r["line"] + "\n")
-    with open(os.path.join(out, "annotations.json"), "w", encoding="utf-8") as f:
-        f.write("[")
-        for i, r in enumerate(annotations(done, language).orderBy("id").toLocalIterator()):
-            f.write(("," if i else "") + "\n" + json.dumps(json.loads(r["document"]), ensure_ascii=False, indent=2))
-        f.write("\n]\n")
+    spark = cache.sparkSession
+    out = f"{root.rstrip('/')}/v{next_version(Folder(spark, root).names())}"
+    folder = Folder(spark, out)
+    folder.make()
+    list_lines(done, speaker, language).select("line").write.text(f"{out}/_lines")
+    folder.join_parts("_lines", "list.txt")
+    annotations(done, language).mapInArrow(_indented(last), "value string").write.text(f"{out}/_documents")
+    folder.join_parts("_documents", "annotations.json", "[\n", "]\n")
     if copy_files:
         copied = done.select("file_path", resolved_emotion().alias("emotion"), "file_name").mapInArrow(_copy(out), "copied long")
         copied.agg(F.sum("copied")).collect()
@@ -99,12 +107,9 @@ def _copy(out: str):
         for b in batches:
             n = 0
             for src, emotion, name in zip(*(c.to_pylist() for c in b.columns)):
-                to = os.path.join(out, os.path.basename(emotion), os.path.basename(name))
-                if os.path.exists(src) and not os.path.exists(to):
-                    os.makedirs(os.path.dirname(to), exist_ok=True)
-                    part = f"{to}.{os.getpid()}.part"  # a task that is run again leaves no half file
-                    shutil.copy2(src, part)
-                    os.replace(part, to)
+                to = "/".join([out, os.path.basename(emotion), os.path.basename(name)])
+                if files.exists(src) and not files.exists(to):
+                    files.copy(src, to)
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["copied"])
 

@@ -8,33 +8,43 @@ from pyspark.sql import functions as F
 from koewake.functions import text as T
 
 
+def _decided(rows: DataFrame, only: Column) -> DataFrame:
+    """Rows with what the rules say of those that are done or filtered, and ``only``; each text is worked on once."""
+    raw = F.coalesce("asr_text", F.lit(""))
+    rows = rows.withColumn("_due", F.coalesce(F.col("status").isin("done", "filtered") & only, F.lit(False)))
+    rows = rows.withColumns({"_blank": F.when(F.col("_due"), T.strip_blanks(raw) == ""), "_text": F.when(F.col("_due"), T.normalize_japanese(raw))})
+    rows = rows.withColumn("_bare", T.bare_text(F.col("_text")))
+    rows = rows.withColumn("_reason", F.when(~F.col("_blank"), T.reason_of(F.col("_text"), F.col("_bare"))))  # normal texts have no outer blanks
+    rows = rows.withColumn("_status", F.when(~F.col("_blank"), F.when(F.col("_reason") != "", "filtered").otherwise("done")).otherwise(F.col("status")))
+    return rows.withColumns({"_changed": F.coalesce(~F.col("_blank") & (F.col("_text") != raw), F.lit(False)), "_moved": F.col("_due") & (F.col("_status") != F.col("status"))}).drop("_bare")
+
+
 def decide(cache: DataFrame) -> DataFrame:
     """Done and filtered rows with ``new_text, filter_reason, new_status`` and what changes: ``blank, changed, moved``.
 
     Blank and null texts are left as they are.
     """
-    raw = F.coalesce("asr_text", F.lit(""))
-    rows = cache.where(F.col("status").isin("done", "filtered"))
-    rows = rows.withColumns({"blank": T.strip_blanks(raw) == "", "new_text": T.normalize_japanese(raw)})
-    rows = rows.withColumn("filter_reason", F.when(~F.col("blank"), T.filter_reason(F.col("new_text"))))
-    rows = rows.withColumn("new_status", F.when(F.col("blank"), F.col("status")).when(F.col("filter_reason") != "", "filtered").otherwise("done"))
-    return rows.withColumns({"changed": ~F.col("blank") & (F.col("new_text") != raw), "moved": F.col("new_status") != F.col("status")})
-
-
-def run(cache: DataFrame, now: Column | None = None) -> DataFrame:
-    """The cache after it, with ``filter_reason``; the text before the first change stays in ``raw_asr_text``."""
-    d = decide(cache).select("id", "new_text", "new_status", "filter_reason", "changed", F.col("moved").alias("_moved"))
-    both = cache.join(d, "id", "left")
-    changed = F.coalesce("changed", F.lit(False))
-    touched = changed | F.coalesce("_moved", F.lit(False))
+    d = _decided(cache.where(F.col("status").isin("done", "filtered")), F.lit(True)).drop("_due")
+    names = {"_blank": "blank", "_text": "new_text", "_reason": "filter_reason", "_status": "new_status", "_changed": "changed", "_moved": "moved"}
+    return d.select(*(F.col(c) for c in cache.columns if c not in names.values()), *(F.col(c).alias(n) for c, n in names.items()))
+
+
+def run(cache: DataFrame, now: Column | None = None, only: Column | None = None) -> DataFrame:
+    """The cache after it, with ``filter_reason``; the text before the first change stays in ``raw_asr_text``.
+
+    ``only``: which rows it is about. Each row is decided on its own: nothing is joined or shuffled.
+    """
+    d = _decided(cache, F.lit(True) if only is None else only)
+    changed = F.col("_changed")
     values = {
         "raw_asr_text": F.when(changed, F.coalesce(F.nullif(F.col("raw_asr_text"), F.lit("")), F.col("asr_text"))).otherwise(F.col("raw_asr_text")),
-        "asr_text": F.when(changed, F.col("new_text")).otherwise(F.col("asr_text")),
-        "status": F.coalesce("new_status", "status"),
+        "asr_text": F.when(changed, F.col("_text")).otherwise(F.col("asr_text")),
+        "status": F.col("_status"),
+        "filter_reason": F.col("_reason"),
     }
     if now is not None:
-        values["updated_at"] = F.when(touched, now).otherwise(F.col("updated_at"))
-    return both.withColumns(values).select(*cache.columns, "filter_reason")
+        values["updated_at"] = F.when(changed | F.col("_moved"), now).otherwise(F.col("updated_at"))
+    return d.withColumns(values).select(*cache.columns, *([] if "filter_reason" in cache.columns else ["filter_reason"]))
 
 
 def stats(cache: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from koewake import schema as S
 from koewake.session import ship
+from koewake.sources.files import save
 from koewake.sources.wav import read_pcm, wav_bytes
 
 PLAN = "file_path string, readable boolean, orig_rate int, rate_fixed boolean, loudness_fixed boolean, loudness_reason string, peak_before_db double, peak_after_db double, clipping_fixed boolean, gain double, any_fixed boolean"
@@ -92,12 +93,8 @@ def repair(files: DataFrame, out_dir: str | None = None) -> DataFrame:
                 new = (None, None, None)
                 if out_dir and r["fixed"]:
                     base = os.path.splitext(os.path.basename(path))[0] + ".wav"
-                    inside = os.path.join(out_dir, hashlib.md5(os.path.dirname(path).encode()).hexdigest()[:8])  # equal names of two directories stay apart
-                    os.makedirs(inside, exist_ok=True)
-                    to = os.path.join(inside, base)
-                    with open(f"{to}.{os.getpid()}.part", "wb") as f:
-                        f.write(data)
-                    os.replace(f.name, to)
+                    to = "/".join([out_dir.rstrip("/"), hashlib.md5(os.path.dirname(path).encode()).hexdigest()[:8], base])  # equal names of two directories stay apart
+                    save(to, data)
                     new = (base, hashlib.md5(data).hexdigest(), to)
                 loud = r["loud"]
                 rows.append((path, True, r["rate"], r["rate"] != S.SAMPLE_RATE, loud["fixed"], loud["reason"], loud["before"], loud["after"], r["gain"] is not None, None if r["gain"] is None else round(r["gain"], 3), r["fixed"], *new))

@@ -102,3 +102,10 @@ def registered_stats(registry: DataFrame, cache: DataFrame) -> DataFrame:
     counts = status_counts(cache, "dir_path")
     names = ["total", *S.STATUSES]
     return registry.join(counts, "dir_path", "left").select(*registry.columns, *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
+
+
+def progress_events(cache: DataFrame) -> DataFrame:
+    """A server-sent event for each row that is finished: what a listener of the whole run was told."""
+    ended = cache.where(F.col("status").isin("done", "error", "filtered"))
+    what = F.to_json(F.struct(F.col("id").alias("id"), F.when(F.col("status") == "error", "error").otherwise("ok").alias("status")))
+    return ended.select("id", F.concat(F.lit("event: progress\ndata: "), what, F.lit("\n\n")).alias("event"))

@@ -40,6 +40,17 @@ def parse(replies: DataFrame, body: str = "body", code: str = "status_code") ->
     return out.drop("_message", "_content", "_note")
 
 
+def outcome(replies: DataFrame, body: str = "body", code: str = "status_code", issues: Column | None = None) -> DataFrame:
+    """Parsed replies with ``status, error_msg``: done with a text, else error, and why; ``issues`` of the recording go with it."""
+    code = F.col(code)
+    failed = F.coalesce(F.get_json_object(F.when(F.try_parse_json(F.col(body)).isNotNull(), F.col(body)), "$.message"), F.concat(F.lit("status "), F.coalesce(code.cast("string"), F.lit("?"))))
+    why = F.when(F.col("ok"), "empty transcription").when(code == 200, "no choices in response").otherwise(failed)
+    if issues is not None:
+        why = F.concat(why, F.when(F.size(issues) > 0, F.concat(F.lit(" | audio: "), F.array_join(issues, "; "))).otherwise(""))
+    done = F.col("ok") & (F.col("text") != "")
+    return replies.withColumns({"status": F.when(done, "done").otherwise("error"), "error_msg": F.when(~done, why)})
+
+
 def merge_emotion(audio: Column, text: Column, confidence: Column) -> Column:
     """``struct(source, final, needs_review)``: the audio's emotion always stays, a difference asks for review."""
     t = F.coalesce(text, F.lit(""))

@@ -125,6 +125,12 @@ def pcm(factor: float = 1.0) -> str:
     return f"SELECT vec_id, list_transform(embedding, lambda x: {one}) AS p FROM embeddings"
 
 
+# signals as files: every third has two channels, which are mixed down to the floor of their mean
+WAVES = f"""WITH s AS ({pcm(2.5)}), w AS (SELECT vec_id, [32000, 44100, 16000, 48000][vec_id % 4 + 1] AS rate, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS channels,
+    CASE WHEN vec_id % 3 = 0 THEN list_transform(range(1, len(p), 2), lambda i: CAST(floor((p[i] + p[i + 1]) / 2.0) AS BIGINT)) ELSE p END AS x FROM s)"""
+# what the stand-in of an analyser tells of a text by its length
+TOLD = """WITH told AS (SELECT id, ['neutral', 'happy', 'sad', 'angry', 'surprised', 'fearful', 'disgusted'][length(asr_text) % 7 + 1] AS t, length(asr_text) % 11 / 10.0::DOUBLE AS s
+    FROM audio_cache WHERE status = 'done' AND length(asr_text) > 0) """
 PEAK = "coalesce(list_max(list_transform({0}, lambda v: abs(v))), 0)"
 SQ = "CAST(coalesce(list_sum(list_transform({0}, lambda v: CAST(v AS BIGINT) * v)), 0) AS BIGINT)"
 RMS = f"coalesce(sqrt({SQ}::DOUBLE / nullif(len({{0}}), 0)), 0.0)"
@@ -184,10 +190,12 @@ def oracle_sql() -> dict[str, str]:
     mime = f"CASE {_suffix('file_name')} WHEN '.mp3' THEN 'audio/mpeg' WHEN '.flac' THEN 'audio/flac' WHEN '.m4a' THEN 'audio/mp4' WHEN '.ogg' THEN 'audio/ogg' WHEN '.opus' THEN 'audio/ogg' WHEN '.aac' THEN 'audio/aac' ELSE 'audio/wav' END"
     results = (
         PARSED
-        + """, b AS (SELECT file_name, file_hash, arg_min({'ok': ok, 'text': text, 'emotion': emotion, 'language': language, 'confidence': confidence, 'code': status_code}, {'a': CASE WHEN ok THEN 0 ELSE 1 END, 'b': received_at, 'c': response_id}) AS r FROM z GROUP BY ALL)
-        SELECT id, CASE WHEN r IS NULL THEN c.status WHEN r.ok THEN 'done' ELSE 'error' END AS status, CASE WHEN r.ok THEN r.text ELSE asr_text END AS asr_text, CASE WHEN r.ok THEN r.emotion ELSE c.emotion END AS emotion,
-            CASE WHEN r.ok THEN r.language ELSE c.language END AS language, CASE WHEN r.ok THEN r.confidence ELSE c.confidence END AS confidence,
-            CASE WHEN NOT r.ok THEN 'status ' || coalesce(CAST(r.code AS VARCHAR), '?') ELSE error_msg END AS error_msg, CASE WHEN r.ok THEN '' ELSE raw_asr_text END AS raw_asr_text, CASE WHEN r.ok THEN '[]' ELSE quality_issues END AS quality_issues
+        + """, o AS (SELECT *, ok AND text <> '' AS fine, CASE WHEN ok THEN 'empty transcription' WHEN status_code = 200 THEN 'no choices in response'
+            ELSE coalesce(json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.message'), 'status ' || coalesce(CAST(status_code AS VARCHAR), '?')) END AS why FROM z),
+        b AS (SELECT file_name, file_hash, arg_min({'fine': fine, 'text': text, 'emotion': emotion, 'language': language, 'confidence': confidence, 'why': why}, {'a': CASE WHEN fine THEN 0 ELSE 1 END, 'b': received_at, 'c': response_id}) AS r FROM o GROUP BY ALL)
+        SELECT id, CASE WHEN r IS NULL THEN c.status WHEN r.fine THEN 'done' ELSE 'error' END AS status, CASE WHEN r.fine THEN r.text ELSE asr_text END AS asr_text, CASE WHEN r.fine THEN r.emotion ELSE c.emotion END AS emotion,
+            CASE WHEN r.fine THEN r.language ELSE c.language END AS language, CASE WHEN r.fine THEN r.confidence ELSE c.confidence END AS confidence,
+            CASE WHEN NOT r.fine THEN r.why ELSE error_msg END AS error_msg, CASE WHEN r.fine THEN '' ELSE raw_asr_text END AS raw_asr_text, CASE WHEN r.fine THEN '[]' ELSE quality_issues END AS quality_issues
         FROM audio_cache c LEFT JOIN b ON c.file_name = b.file_name AND c.file_hash = b.file_hash"""
     )
     return {
@@ -286,6 +294,29 @@ def oracle_sql() -> dict[str, str]:
         "mime_data_uri": f"SELECT id, 'data:' || {mime} || ';base64,' || to_base64(encode(coalesce(asr_text, file_hash))) AS uri FROM audio_cache",
         "content_md5": "SELECT doc_id, md5(text) AS md5 FROM documents",
         "next_version": r"SELECT coalesce(max(CAST(regexp_extract(name, '^v(\d+)$', 1) AS BIGINT)), 0) + 1 AS next_version FROM (SELECT 'v' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.bak' ELSE '' END AS name FROM documents) WHERE regexp_matches(name, '^v(\d+)$')",
+        "export_written": "SELECT unnest(regexp_split_to_array(coalesce(file_path, '') || '|heroine|ja|' || replace(coalesce(asr_text, ''), '|', ' '), '\\r\\n|\\n|\\r')) AS line FROM audio_cache WHERE status = 'done'",
+        "progress_events": """SELECT id, 'event: progress' || chr(10) || 'data: {"id":' || id || ',"status":"' || CASE WHEN status = 'error' THEN 'error' ELSE 'ok' END || '"}' || chr(10) || chr(10) AS event
+            FROM audio_cache WHERE status IN ('done', 'error', 'filtered')""",
+        "wav_probe": f"""{WAVES} SELECT vec_id, true AS readable, rate AS sample_rate, channels, len(x) AS frames, round(len(x) / rate::DOUBLE * 1000, 6) AS duration_ms, {PEAK.replace('{0}', 'x')} AS peak, {SQ.replace('{0}', 'x')} AS sum_squares,
+            len(list_filter(x, lambda v: abs(v) >= 32111)) AS clipped, len(list_filter(x, lambda v: abs(v) < 655.34)) AS silent FROM w""",
+        "wav_manifest": f"""{WAVES} SELECT 's' || vec_id || '.wav' AS file_name, '/signals/' || vec_id % 7 || '/s' || vec_id || '.wav' AS file_path, 44 + 128 AS file_size, round(len(x) / rate::DOUBLE * 1000, 6) AS duration_ms,
+            '/signals/' || vec_id % 7 AS source_dir, rate = 32000 AS sr_ok, rate AS sr_actual FROM w""",
+        "wav_repair": f"""WITH s AS ({pcm(1.0)}), k AS (SELECT *, {PEAK.replace('{0}', 'p')} AS k FROM s)
+            SELECT '/signals/' || vec_id % 7 || '/s' || vec_id || '.wav' AS file_path, true AS readable, 16000 AS orig_rate, true AS rate_fixed, k > 0 AND 0.707 * 32767 / nullif(k, 0) NOT BETWEEN 0.95 AND 1.05 AS loudness_fixed,
+            false AS clipping_fixed, true AS any_fixed FROM k""",
+        "wav_repaired": _fixed([(HOLD, LOUD), ("", DECLIP)], 1.0, f"len(p) AS samples, {HASH.replace('{0}', 'p')} AS signal"),
+        "convert_probe": f"{WAVES} SELECT vec_id, rate AS sample_rate, channels, 'pcm_s16le' AS format, round(len(x) / rate::DOUBLE * 1000, 6) AS duration_ms, rate <> 32000 OR channels > 1 AS fixed FROM w",
+        "convert_written": f"{WAVES}, n AS (SELECT vec_id, CASE rate WHEN 32000 THEN len(x) WHEN 16000 THEN 2 * len(x) ELSE trunc(len(x) * 32000::DOUBLE / rate) END AS n FROM w) SELECT vec_id, 32000 AS sample_rate, 1 AS channels, round(n / 32000::DOUBLE * 1000, 6) AS duration_ms FROM n",
+        "transcribe_files": """WITH e AS (SELECT vec_id AS i, ['neutral', 'happy', 'sad', 'angry', 'surprised', 'fearful', 'disgusted'] AS names, CASE WHEN vec_id % 7 = 0 THEN 'slow down' WHEN vec_id % 5 = 0 THEN 'empty transcription' END AS why FROM embeddings)
+            SELECT 's' || i AS file_name, md5(CAST(i AS VARCHAR)) AS file_hash, CASE WHEN why IS NULL THEN 'done' ELSE 'error' END AS status, CASE WHEN why IS NULL THEN '声' || i END AS asr_text,
+            CASE WHEN why IS NULL THEN CASE WHEN i % 3 = 0 THEN 'neutral' ELSE names[i % 7 + 1] END END AS emotion, CASE WHEN why IS NULL THEN CASE WHEN i % 2 = 1 THEN 'ja' ELSE 'en' END END AS language,
+            CASE WHEN why IS NULL THEN 0.9::DOUBLE END AS confidence, why AS error_msg FROM e""",
+        "text_emotions": TOLD + "SELECT id, t AS text_emotion, s AS text_confidence, CAST(NULL AS VARCHAR) AS text_error FROM told",
+        "text_emotions_merged": TOLD + "SELECT c.id, coalesce(t, c.text_emotion) AS text_emotion, CASE WHEN t IS NOT NULL THEN emotion ELSE emotion_final END AS emotion_final FROM audio_cache c LEFT JOIN told ON c.id = told.id",
+        "snapshot_of_directory": f"SELECT id, file_name, status, asr_text FROM audio_cache WHERE {DIR} = '/data/studio_a'",
+        "ingest_twice": UPSERT
+        + """, g AS (SELECT DISTINCT file_name, file_hash FROM m WHERE scan_status = 'skipped' EXCEPT SELECT file_name, file_hash FROM b)
+            SELECT file_name, file_hash, status, error_msg FROM b UNION ALL SELECT file_name, file_hash, 'filtered', NULL FROM g""",
         "export_list_lines": "SELECT id, coalesce(file_path, '') || '|heroine|ja|' || replace(coalesce(asr_text, ''), '|', ' ') AS line FROM audio_cache WHERE status = 'done'",
         "export_annotations": f"""SELECT id, {RESOLVED} || '/' || file_name AS file, file_path AS original_path, replace(coalesce(asr_text, ''), '|', ' ') AS text, coalesce(nullif(language, ''), 'ja') AS language, emotion AS audio,
             text_emotion AS text_semantic, {RESOLVED} AS final, confidence, round(duration_ms, 3) AS duration_ms, file_hash, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS processed_at FROM audio_cache WHERE status = 'done'""",

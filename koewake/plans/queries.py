@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +15,13 @@ from koewake.functions import numbers, signal, text
 from koewake.functions.labels import clean_label
 from koewake.functions.paths import clean_dir
 from koewake.operators import cache as C
-from koewake.operators import export, postprocess, reports, responses, scan
+from koewake.operators import convert, emotions, export, postprocess, repair, reports, responses, scan, transcribe
 from koewake.plans.tables import load
+from koewake.session import materialise, new_path, ship
+from koewake.sources import audio_files, wav
+from koewake.sources.files import opened, save
+from koewake.sources.snapshots import Snapshots
+from koewake.streaming.ingest import ingest_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -55,7 +63,15 @@ _of_text("text_normalize", text.normalize_japanese)
 _of_text("text_nonverbal", lambda x: text.is_non_verbal(text.strip_blanks(x)))
 _of_text("text_has_japanese", text.has_japanese)
 _of_text("text_filler", text.is_filler)
-_of_text("text_filter_reason", lambda x: text.filter_reason(text.normalize_japanese(x)))
+
+
+@query
+def text_filter_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heard = F.coalesce(F.nullif(F.col("raw_asr_text"), F.lit("")), F.col("asr_text"))
+    rows = _cache(spark, sf_dir, "id", "asr_text", "raw_asr_text").where("asr_text IS NOT NULL").select("id", text.normalize_japanese(heard).alias("s"))
+    return rows.select("id", "s", text.bare_text(F.col("s")).alias("b")).select("id", text.reason_of(F.col("s"), F.col("b")).alias("value"))
+
+
 _of_text("text_pipe_escape", text.pipe_escape)
 
 
@@ -264,8 +280,8 @@ def scan_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten warnings by name, and how many are left."""
     every = scan.warnings(_manifest(spark, sf_dir))
-    left = max(0, every.count() - 10)
-    return every.orderBy("file_name", "warning").limit(10).withColumn("left", F.lit(left).cast("long"))
+    left = every.agg(F.greatest(F.count(F.lit(1)) - 10, F.lit(0)).alias("left")).scalar()
+    return every.orderBy("file_name", "warning").limit(10).withColumn("left", left)
 
 
 @query
@@ -303,14 +319,13 @@ def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One result for each key: of several replies the first that worked, else the first."""
-    parsed = responses.parse(load(spark, sf_dir, "asr_response"))
-    first = F.struct(F.when(F.col("ok"), 0).otherwise(1), "received_at", "response_id")
-    best = parsed.groupBy("file_name", "file_hash").agg(F.min_by(F.struct("ok", "text", "emotion", "language", "confidence", "body", "status_code"), first).alias("r"))
+    """One result for each key: of several replies the first with a text, else the first."""
+    parsed = responses.outcome(responses.parse(load(spark, sf_dir, "asr_response")))
+    first = F.struct(F.when(F.col("status") == "done", 0).otherwise(1), "received_at", "response_id")
+    best = parsed.groupBy("file_name", "file_hash").agg(F.min_by(F.struct("status", "text", "emotion", "language", "confidence", "body", "error_msg"), first).alias("r"))
     return best.select(
-        "file_name", "file_hash", F.when(F.col("r.ok"), "done").otherwise("error").alias("status"), F.col("r.text").alias("asr_text"), "r.emotion", "r.language",
-        F.col("r.body").alias("asr_raw"), "r.confidence", F.lit("[]").alias("quality_issues"), F.lit("").alias("raw_asr_text"),
-        F.when(~F.col("r.ok"), F.concat(F.lit("status "), F.coalesce(F.col("r.status_code").cast("string"), F.lit("?")))).alias("error_msg"),
+        "file_name", "file_hash", "r.status", F.col("r.text").alias("asr_text"), "r.emotion", "r.language",
+        F.col("r.body").alias("asr_raw"), "r.confidence", F.lit("[]").alias("quality_issues"), F.lit("").alias("raw_asr_text"), "r.error_msg",
     )
 
 
@@ -494,6 +509,146 @@ def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("percent", numbers.percent(F.col("finished"), F.col("total")))
 
 
+@query
+def export_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of ``list.txt`` as it was written."""
+    out = export.write(_cache(spark, sf_dir), new_path(spark, "export"), copy_files=False)
+    return spark.read.text(f"{out}/list.txt").select(F.col("value").alias("line"))
+
+
+@query
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.progress_events(_cache(spark, sf_dir, "id", "status"))
+
+
+# ---- files that are made of signals ---------------------------------------------------------------------------------
+
+
+def _wav_files(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
+    """``vec_id, file_path, content``: the signals as WAV files of several rates, every third in two channels; or all of 16 kHz."""
+    ship(spark)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, made = b.column(0).to_pylist(), []
+            for i, x in zip(ids, b.column(1).to_pylist()):
+                made.append(wav.wav_bytes(np.array(x), 16000) if plain else wav.wav_bytes(np.array(x), (32000, 44100, 16000, 48000)[i % 4], 2 if i % 3 == 0 else 1))
+            paths = [f"/signals/{i % 7}/s{i}.wav" for i in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths), pa.array(made, pa.binary())], ["vec_id", "file_path", "content"])
+
+    return _pcm(spark, sf_dir, 1.0 if plain else 2.5).mapInArrow(run, "vec_id long, file_path string, content binary")
+
+
+@query
+def wav_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wav.probe(_wav_files(spark, sf_dir))
+    return rows.select("vec_id", "readable", "sample_rate", "channels", "frames", F.round("duration_ms", 6).alias("duration_ms"), "peak", "sum_squares", "clipped", "silent")
+
+
+@query
+def wav_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _wav_files(spark, sf_dir).select(F.col("file_path").alias("path"), F.octet_length("content").cast("long").alias("length"), "content")
+    return audio_files.as_manifest(files).select("file_name", "file_path", "file_size", F.round("duration_ms", 6).alias("duration_ms"), "source_dir", "sr_ok", "sr_actual")
+
+
+@query
+def wav_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.repair(_wav_files(spark, sf_dir, plain=True))
+    return rows.select("file_path", "readable", "orig_rate", "rate_fixed", "loudness_fixed", "clipping_fixed", "any_fixed")
+
+
+@query
+def wav_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired files, written, read again, and hashed by their samples."""
+    files = _wav_files(spark, sf_dir, plain=True)
+    made = repair.repair(files, new_path(spark, "repaired")).join(files.select("file_path", "vec_id"), "file_path").where("any_fixed").select("vec_id", "new_path")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            signals = []
+            for path in b.column(1).to_pylist():
+                with opened(path) as f:
+                    signals.append(wav.read_pcm(f.read())[2])
+            hashes = [hashlib.md5(",".join(map(str, x.tolist())).encode()).hexdigest() for x in signals]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in signals], pa.int32()), pa.array(hashes, pa.string())], ["vec_id", "samples", "signal"])
+
+    return made.mapInArrow(run, "vec_id long, samples int, signal string")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals as files in the shared folder, under names of another type: ``vec_id, file_path``."""
+    place = new_path(spark, "signals")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = [f"{place}/s{i}.ogg" for i in b.column(0).to_pylist()]
+            for path, content in zip(paths, b.column(2).to_pylist()):
+                save(path, content)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths)], ["vec_id", "file_path"])
+
+    return materialise(_wav_files(spark, sf_dir).mapInArrow(run, "vec_id long, file_path string"), "stored")
+
+
+@query
+def convert_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stand-in of the outside program tells of files of another type."""
+    files = _stored(spark, sf_dir)
+    told = convert.convert(files, None, convert.Offline()).join(files, "file_path")
+    return told.select("vec_id", "sample_rate", "channels", "format", F.round("duration_ms", 6).alias("duration_ms"), "fixed")
+
+
+@query
+def convert_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The converted files, probed again."""
+    files = _stored(spark, sf_dir)
+    made = convert.convert(files, new_path(spark, "converted"), convert.Offline()).join(files, "file_path").select("vec_id", F.col("new_path").alias("file_path"))
+    return convert.probed(made, convert.Offline()).join(made, "file_path").select("vec_id", "sample_rate", "channels", F.round("duration_ms", 6).alias("duration_ms"))
+
+
+def _answer(path: str, content: bytes | None, hint: str) -> dict:
+    """Stands in for a service: texts, silence and refusals by the number in a file's name."""
+    n = int(path.rsplit("/s", 1)[1].split(".")[0])
+    if n % 7 == 0:
+        return {"status_code": 429, "body": '{"message": "slow down"}'}
+    return transcribe.reply("" if n % 5 == 0 else f" 声{n} ", S.EMOTIONS[n % 7] if n % 3 else "odd", None if n % 2 else "en")
+
+
+@query
+def transcribe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _stored(spark, sf_dir)
+    keyed = files.select(F.concat(F.lit("s"), "vec_id").alias("file_name"), F.md5(F.col("vec_id").cast("string")).alias("file_hash"), "file_path")
+    return transcribe.transcribe(keyed, _answer, 4, "ja").select("file_name", "file_hash", "status", "asr_text", "emotion", "language", "confidence", F.regexp_replace("error_msg", r" \| audio.*$", "").alias("error_msg"))
+
+
+@query
+def text_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emotions.text_emotions(_cache(spark, sf_dir, "id", "status", "asr_text"))
+
+
+@query
+def text_emotions_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _cache(spark, sf_dir, "id", "status", "asr_text", "emotion", "text_emotion", "emotion_final")
+    return emotions.merged(rows, emotions.text_emotions(rows)).select("id", "text_emotion", "emotion_final")
+
+
+@query
+def snapshot_of_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache written as a snapshot, and one directory read back."""
+    store = Snapshots(spark, new_path(spark, "snapshots"))
+    store.write(_cache(spark, sf_dir))
+    return store.read(directory="/data/studio_a").select("id", "file_name", "status", "asr_text")
+
+
+@query
+def ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after the manifest was taken in two times."""
+    store = Snapshots(spark, new_path(spark, "ingested"))
+    store.write(_cache(spark, sf_dir))
+    for _ in range(2):
+        ingest_batch(store, _manifest(spark, sf_dir))
+    return store.read().select("file_name", "file_hash", "status", "error_msg")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From what was heard to the emotions of what is kept: normalise, filter, count, share."""
     after = postprocess.run(_cache(spark, sf_dir, "id", "status", "asr_text", "raw_asr_text", "emotion"))

@@ -34,10 +34,12 @@ def build_session(app: str = "koewake", master: str | None = None, **conf: str)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of this process only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, in local mode only, a folder of this process."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="koewake-")

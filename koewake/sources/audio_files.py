@@ -8,6 +8,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from koewake import schema as S
 from koewake.functions.paths import clean_dir
+from koewake.operators import convert
 from koewake.operators.scan import is_audio
 from koewake.sources import wav
 
@@ -46,5 +47,10 @@ def as_manifest(files: DataFrame) -> DataFrame:
     return rows.select("file_name", "file_hash", "file_path", "file_size", "duration_ms", "source_dir", "sr_ok", "sr_actual", "issues", "passed")
 
 
-def manifest(spark: SparkSession, directory: str) -> DataFrame:
-    return as_manifest(listing(spark, directory))
+def manifest(spark: SparkSession, directory: str, converter: convert.Converter | None = None) -> DataFrame:
+    """The files of a directory as a manifest, by name; with a converter also the durations of other types than WAV."""
+    rows = as_manifest(listing(spark, directory))
+    if converter:
+        known = convert.probed(convert.others(rows.select("file_path")), converter).select("file_path", F.col("duration_ms").alias("_probed"))
+        rows = rows.join(known, "file_path", "left").withColumn("duration_ms", F.coalesce("duration_ms", "_probed")).select(*rows.columns)
+    return rows.orderBy("file_name", "file_path")

@@ -15,17 +15,18 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from koewake import schema as S
 from koewake.functions.numbers import whole
 from koewake.session import ship
+from koewake.sources.files import opened
 
 #: Frames, or bytes, of a large file that are held at a time.
 CHUNK = 1 << 20
 FIGURES = "readable boolean, sample_rate int, channels int, frames long, duration_ms double, peak long, sum_squares long, clipped long, silent long"
+KINDS = [pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
 
 
 def read_pcm(content: bytes) -> tuple[int, int, np.ndarray]:
@@ -39,11 +40,11 @@ def read_pcm(content: bytes) -> tuple[int, int, np.ndarray]:
     return rate, channels, x.sum(axis=1) // channels
 
 
-def wav_bytes(samples: np.ndarray, rate: int = S.SAMPLE_RATE) -> bytes:
-    """A mono 16-bit WAV file."""
+def wav_bytes(samples: np.ndarray, rate: int = S.SAMPLE_RATE, channels: int = 1) -> bytes:
+    """A 16-bit WAV file; the samples of several channels take turns."""
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
-        w.setnchannels(1)
+        w.setnchannels(channels)
         w.setsampwidth(2)
         w.setframerate(rate)
         w.writeframes(np.asarray(samples).astype("<i2").tobytes())
@@ -73,14 +74,6 @@ def figures_of(file: BinaryIO) -> tuple:
     return (True, rate, channels, n, n / rate * 1000, peak, squares, clipped, silent)
 
 
-def opened(path: str) -> BinaryIO:
-    """A local file, or one on a file system that Arrow knows."""
-    if "://" not in path:
-        return open(path.removeprefix("file:"), "rb")
-    system, inside = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inside)
-
-
 def _by_path(path: str) -> tuple[str, tuple]:
     """Hash and figures of a file that is too large to be held."""
     with opened(path) as f:
@@ -100,7 +93,6 @@ def probe(files: DataFrame) -> DataFrame:
     kept = [c for c in files.columns if c != "content"]
     src = files.select(*kept, "content")
     names = [x.split()[0] for x in FIGURES.split(", ")]
-    kinds = [pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,7 +105,7 @@ def probe(files: DataFrame) -> DataFrame:
                 at = kept.index("file_hash")
                 own[at] = pa.array([large[i][0] if i in large else h for i, h in enumerate(own[at].to_pylist())], pa.string())
             rows = [large[i][1] if i in large else figures(x.as_py()) for i, x in enumerate(content)]
-            made = [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))]
+            made = [pa.array([r[i] for r in rows], KINDS[i]) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*own, *made], [*kept, *names])
 
     head = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in kept)

@@ -11,8 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from koewake.operators import cache as C
 from koewake.operators import scan
 from koewake.operators.scan import is_audio
-from koewake.schema import MAX_DURATION_MS, MIN_DURATION_MS
-from koewake.session import new_path
+from koewake.session import materialise, new_path
 from koewake.sources.audio_files import FILE_SCHEMA, as_manifest, bounded
 from koewake.sources.snapshots import Snapshots
 
@@ -23,19 +22,12 @@ def ingest_batch(store: Snapshots, manifest: DataFrame) -> DataFrame:
     Returns the classified manifest. Only keys that aren't known are added, so a batch that runs twice changes nothing.
     """
     now = store.read()
-    found = scan.classify(manifest, now).persist()
-    fresh = found.where(F.col("scan_status").isin("new", "changed"))
-    after = C.upsert_pending(now, fresh, F.current_timestamp())
-    gone = found.where("scan_status = 'skipped'").join(now.select(*C.KEY), C.KEY, "left_anti")
-    issue = F.to_json(F.array(scan.gate_message(F.col("duration_ms"))))
-    gone = gone.select(*C.KEY, "file_path", "file_size", "duration_ms", "source_dir", issue.alias("quality_issues"))
-    after = C.upsert_pending(after, gone, F.current_timestamp())
-    out = ~F.col("duration_ms").between(MIN_DURATION_MS, MAX_DURATION_MS)
-    known = gone.select(*C.KEY, F.col("quality_issues").alias("_issue")).dropDuplicates(C.KEY)
-    after = after.join(known, C.KEY, "left").withColumns(
-        {"status": F.when(F.col("_issue").isNotNull() & out, "filtered").otherwise(F.col("status")), "quality_issues": F.coalesce("_issue", "quality_issues")}
-    )
-    store.write(after.drop("_issue"))
+    found = materialise(scan.classify(manifest, now), "found")
+    fresh = found.where(F.col("scan_status").isin("new", "changed")).withColumn("issue", F.lit(None).cast("string"))
+    gone = found.where("scan_status = 'skipped'").join(now.select(*C.KEY), C.KEY, "left_anti").join(fresh.select(*C.KEY), C.KEY, "left_anti")
+    gone = gone.withColumn("issue", F.to_json(F.array(scan.gate_message(F.col("duration_ms")))))
+    columns = [*C.KEY, "file_path", "file_size", "duration_ms", "source_dir", "issue"]
+    store.write(C.upsert_pending(now, fresh.select(*columns).unionByName(gone.select(*columns)), F.current_timestamp()))
     return found
 
 
@@ -52,7 +44,6 @@ def watch(spark: SparkSession, directory: str, store: Snapshots, checkpoint: str
         found = ingest_batch(store, as_manifest(batch))
         if after:
             after(found, number)
-        found.unpersist()
 
     q = files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint or new_path(spark, "watch"))
     return (q.trigger(availableNow=True) if available_now else q).start()
