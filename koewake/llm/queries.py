@@ -99,6 +99,11 @@ def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plans(spark, sf_dir)[0]
 
 
+def p4_sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows the sample has of each plan and emotion."""
+    return p4_sample(spark, sf_dir).groupBy("plan_id", "emotion").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.wrong_labels(load(spark, sf_dir, "audio_cache", "id", "asr_text", "language"), "id", "asr_text", "language")
 
@@ -136,7 +141,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    all_of = (p1_found, p1_forms, p1_classes, p2_found, p2_coverage, p3_ranks, p3_percentiles, p3_combined_days, p4_found, p4_report, p4_sample, p5_found, p5_segments, p6_ids, p6_round_trip, p7_found, p7_near, p8_found, p8_statistics)
+    all_of = (p1_found, p1_forms, p1_classes, p2_found, p2_coverage, p3_ranks, p3_percentiles, p3_combined_days, p4_found, p4_report, p4_sample, p4_sample_sizes, p5_found, p5_segments, p6_ids, p6_round_trip, p7_found, p7_near, p8_found, p8_statistics)
     return {f.__name__: f for f in all_of}
 
 
@@ -168,4 +173,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_combined_days": _shares_sql("dir, month", f"SELECT {place} AS dir, strftime(created_at, '%Y-%m') AS month, duration_ms {positive}", (0.5, 0.9)),
         "p4_found": f"SELECT plan_id, emotion FROM ({_p4_sql()}) WHERE exhausted",
         "p4_report": _p4_sql(),
+        "p4_sample_sizes": f"SELECT plan_id, emotion, taken AS rows, taken AS ids FROM ({_p4_sql()}) WHERE taken > 0",
+        "p6_round_trip": "SELECT doc_id FROM documents WHERE false",
     }

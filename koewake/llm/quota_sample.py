@@ -15,6 +15,7 @@ never kept; an empty table gives an empty sample and reports every category that
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from koewake.functions.labels import clean_label
 from koewake.session import materialise
 
 BINS = 4096
-#: A plan table larger than this is an error: it is sent to every task.
-MOST_PLANS = 100_000
+#: Categories, and rows of plans, that are sent to every task at once; more categories take several passes, more rows are joined.
+MOST_SENT = 100_000
 
 
 def emotion_of(final: Column, audio: Column) -> Column:
@@ -85,16 +86,17 @@ def _demands(plans: DataFrame) -> DataFrame:
 def sample_by_plan(rows: DataFrame, plans: DataFrame, category: Column, id_col: str = "id", seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The sample ``(plan_id, emotion, id)`` and the report ``(plan_id, emotion, wanted, available, taken, exhausted)``.
 
-    ``plans`` has ``plan_id``, ``emotion``, ``sample_rows``, ``target_share`` and ``min_rows``; it must be small.
+    ``plans`` has ``plan_id``, ``emotion``, ``sample_rows``, ``target_share`` and ``min_rows``, and may have any number of rows.
     """
-    asked = _demands(plans).limit(MOST_PLANS + 1).collect()
-    if len(asked) > MOST_PLANS:
-        raise ValueError(f"more than {MOST_PLANS} rows of plans")
-    most: dict[str, int] = {}
-    for r in asked:
-        if r["category"] is not None:
-            most[r["category"]] = max(most.get(r["category"], 0), r["wanted"])
-    state = materialise(reservoirs(rows, category, id_col, most, seed), "reservoirs")
+    asked = materialise(_demands(plans).where("category IS NOT NULL").groupBy("category").agg(F.max("wanted").alias("most"), F.count(F.lit(1)).alias("rows")), "asked")
+    n, wants = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    passes = max(1, -(-n // MOST_SENT))
+    turn = lambda c: F.pmod(F.xxhash64(c), F.lit(passes))
+    states = []
+    for i in range(passes):
+        most = {r["category"]: r["most"] for r in asked.where(turn("category") == i).collect()}  # about MOST_SENT at most
+        states.append(materialise(reservoirs(rows if passes == 1 else rows.where(turn(category) == i), category, id_col, most, seed), "reservoirs"))
+    state = reduce(DataFrame.unionByName, states)
     counts = state.where("n is not null").groupBy("category").agg(F.sum("n").alias("available"))
     report = _demands(plans).join(counts, "category", "left").select(
         "plan_id", "emotion", "category", "wanted", F.coalesce("available", F.lit(0)).alias("available"),
@@ -107,7 +109,7 @@ def sample_by_plan(rows: DataFrame, plans: DataFrame, category: Column, id_col:
         F.min(F.when(F.col("upto") >= F.col("taken"), F.col("bin"))).alias("last"),
         F.coalesce(F.max(F.when(F.col("upto") < F.col("taken"), F.col("upto"))), F.lit(0)).alias("before"),
     )
-    chosen = kept.join(F.broadcast(ends), "category").where(F.col("bin") <= F.col("last"))
+    chosen = kept.join(F.broadcast(ends) if wants <= MOST_SENT else ends, "category").where(F.col("bin") <= F.col("last"))
     inside = chosen.where(F.col("bin") < F.col("last")).select("plan_id", "emotion", "id")
     order = F.row_number().over(W.partitionBy("plan_id", "emotion").orderBy("priority", "id"))
     edge = chosen.where(F.col("bin") == F.col("last")).withColumn("place", order).where(F.col("place") <= F.col("taken") - F.col("before")).select("plan_id", "emotion", "id")

@@ -59,6 +59,14 @@ def test_sample(spark):
     assert none.count() == 0 and rep.where("exhausted").count() == 5
 
 
+def test_many_categories_take_several_passes(spark, monkeypatch):
+    df = spark.range(3000).select("id", F.concat(F.lit("c"), F.col("id") % 7).alias("c"))
+    p = plans(spark, *((1, f"c{i}", 100, 0.2, 0) for i in range(8)), (2, "c3", 50, 0.5, 2))
+    once = [sorted(map(tuple, x.collect())) for x in Q.sample_by_plan(df, p, F.col("c"))]
+    monkeypatch.setattr(Q, "MOST_SENT", 3)
+    assert [sorted(map(tuple, x.collect())) for x in Q.sample_by_plan(df, p, F.col("c"))] == once and len(once[0]) == 7 * 20 + 25
+
+
 def test_reservoir_trims_in_one_pass(spark):
     df = spark.range(40_000).select("id", F.lit("c").alias("c")).coalesce(1)
     out = Q.reservoirs(df, F.col("c"), "id", {"c": 50})

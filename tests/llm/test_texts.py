@@ -33,6 +33,16 @@ def test_encode(spark):
     assert E.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_rank_file_comes_with_the_session(spark):
+    import os
+
+    from pyspark import SparkFiles
+
+    E.encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "doc_id", "text").count()
+    assert os.path.exists(SparkFiles.get(os.path.basename(E.RANKS))) and E.here(E.RANKS) == SparkFiles.get(os.path.basename(E.RANKS))
+    assert E.here("/no/such/ranks") == "/no/such/ranks"
+
+
 WORDS = "lantern bridge salt river copper winter garden mirror stone whistle letter candle harbour pocket thunder velvet meadow basket window feather".split()
 
 
