@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from koewake import schema as S
 from koewake.functions.numbers import whole
+from koewake.functions.paths import clean_dir
 
 
 def gate(duration_ms: Column) -> Column:
@@ -30,18 +31,22 @@ def is_audio(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(*S.SUFFIXES)
 
 
-def classify(manifest: DataFrame, cache: DataFrame, strict: bool = False) -> DataFrame:
+def classify(manifest: DataFrame, cache: DataFrame, strict: bool = False, per_directory: bool = False) -> DataFrame:
     """The manifest with ``scan_status``: skipped, cached, changed or new.
 
     A file is cached if its name and hash are done, or filtered unless ``strict``; changed if another file of its name
-    is done. Both look-ups are equi-joins on distinct keys, so no row is repeated.
+    is done. With ``per_directory`` only files of its own directory count, however it is spelled; files without one are
+    never known then. Both look-ups are equi-joins on distinct keys, so no row is repeated.
     """
     known = ["done"] if strict else ["done", "filtered"]
-    keys = cache.where(F.col("status").isin(*known)).select("file_name", "file_hash").distinct().withColumn("_cached", F.lit(True))
-    names = cache.where(F.col("status") == "done").select("file_name").distinct().withColumn("_named", F.lit(True))
-    both = manifest.join(keys, ["file_name", "file_hash"], "left").join(names, "file_name", "left")
+    place = ["_place"] if per_directory else []
+    if per_directory:
+        manifest, cache = (x.withColumn("_place", clean_dir(F.col("source_dir"))) for x in (manifest, cache))
+    keys = cache.where(F.col("status").isin(*known)).select("file_name", "file_hash", *place).distinct().withColumn("_cached", F.lit(True))
+    names = cache.where(F.col("status") == "done").select("file_name", *place).distinct().withColumn("_named", F.lit(True))
+    both = manifest.join(keys, ["file_name", "file_hash", *place], "left").join(names, ["file_name", *place], "left")
     status = F.when(gate(F.col("duration_ms")) != "ok", "skipped").when(F.col("_cached"), "cached").when(F.col("_named"), "changed").otherwise("new")
-    return both.withColumn("scan_status", status).drop("_cached", "_named")
+    return both.withColumn("scan_status", status).drop("_cached", "_named", *place)
 
 
 def summary(classified: DataFrame, *by: str) -> DataFrame:

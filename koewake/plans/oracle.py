@@ -251,6 +251,11 @@ def oracle_sql() -> dict[str, str]:
         "duration_gate": f"SELECT scan_id, {gate} AS gate FROM scan_manifest",
         "duration_messages": f"""SELECT scan_id, CASE WHEN duration_ms < 500 THEN 'duration too short: ' || {_whole('duration_ms')} || 'ms < 500ms' ELSE 'duration too long: ' || {seconds} || 's > 30s' END AS message
             FROM scan_manifest WHERE duration_ms < 500 OR duration_ms > 30000""",
+        "scan_classify_per_directory": f"""
+            WITH a AS (SELECT file_name, file_hash, status, {DIR} AS d FROM audio_cache), s AS (SELECT *, {DIR} AS d FROM scan_manifest)
+            SELECT scan_id, CASE WHEN duration_ms < 500 OR duration_ms > 30000 THEN 'skipped'
+                WHEN EXISTS (SELECT 1 FROM a WHERE a.file_name = s.file_name AND a.file_hash = s.file_hash AND a.d = s.d AND a.status IN ('done', 'filtered')) THEN 'cached'
+                WHEN EXISTS (SELECT 1 FROM a WHERE a.file_name = s.file_name AND a.d = s.d AND a.status = 'done') THEN 'changed' ELSE 'new' END AS scan_status FROM s""",
         "scan_classify": classified() + "SELECT scan_id, scan_status FROM m",
         "scan_classify_strict": classified(True) + "SELECT scan_id, scan_status FROM m",
         "scan_summary": classified() + f"SELECT batch_no, count(*) AS total, {', '.join(f'''count(*) FILTER (scan_status = '{s}') AS {s}''' for s in ('cached', 'new', 'changed', 'skipped'))} FROM m GROUP BY 1",

@@ -266,6 +266,12 @@ def scan_classify_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.classify(_manifest(spark, sf_dir), _cache(spark, sf_dir, "file_name", "file_hash", "status"), strict=True).select("scan_id", "scan_status")
 
 
+@query
+def scan_classify_per_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _cache(spark, sf_dir, "file_name", "file_hash", "status", "source_dir")
+    return scan.classify(_manifest(spark, sf_dir), rows, per_directory=True).select("scan_id", "scan_status")
+
+
 @query
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.summary(scan.classify(_manifest(spark, sf_dir), _cache(spark, sf_dir, "file_name", "file_hash", "status")), "batch_no")
