@@ -132,11 +132,12 @@ class History:
     """Keys of all rows accepted so far, in tables bucketed by key under ``path``.
 
     Opening an existing ``path`` continues it, also from another session. ``buckets``: how many, instead of by the size of
-    the first batch; an existing history has its own number.
+    the first batch; an existing history has its own number. ``cover``: whether parts of names are kept for ``coverage``.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, cover: bool = True) -> None:
         ship(spark)
+        self.cover = cover
         self.spark, self.path, self.wanted = spark, (path or new_path(spark, "history")).rstrip("/"), buckets
         self.tag = f"koewake_{uuid.uuid4().hex[:12]}"
         self.buckets = self.generation = 0
@@ -252,7 +253,8 @@ class History:
             self.buckets = self.wanted or max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-named.count() // BUCKET_ROWS))
             self._tables()
         self._learn(named, batch)
-        self._put("parts", _parts(named).select("p").distinct().join(self._before("parts", batch), "p", "left_anti"), batch)
+        if self.cover:
+            self._put("parts", _parts(named).select("p").distinct().join(self._before("parts", batch), "p", "left_anti"), batch)
         content = src.where("h IS NOT NULL").select(*_keys(F.lit("c"), F.col("h")), "id", F.lit(None).cast("string").alias("own"), F.lit(None).cast("long").alias("c"))
         whole = named.select(*_keys(F.lit("n"), F.concat("head", F.lit("\n"), F.array_join("words", " "))))
         made = content.unionByName(self._name_keys(named, batch))
@@ -282,7 +284,8 @@ class History:
         if some := not cut.isEmpty():  # a key that was cut in one batch may be whole, or in other parts, in another
             every = self._temp(every.join(new.select("k", "k2").distinct(), ["k", "k2"], "left_semi"), "cut")
             asked = asked.unionByName(every).distinct()
-        touched = self._temp(self._before("keys", batch).join(asked.hint("shuffle_hash"), key, "left_semi"), "touched")
+        before = self._before("keys", batch)
+        touched = self._temp(before.join(asked.hint("shuffle_hash"), key, "left_semi"), "touched") if batch > min(self.names.values(), default=batch) else before.limit(0)
         shared = sizes.where("n > 1").select(*key).unionByName(touched.select("k", "k2", F.lit(0).alias("s")))
         if some:
             shared = shared.unionByName(every)
@@ -302,6 +305,8 @@ class History:
         """``(id, full_copy, parts, covered)`` of rows that may come: whether the history has their content, how many parts
         their names have, and how many of these it has in their directory. Rows without a name have none."""
         src = rows.select(F.col("id").cast("long").alias("id"), "file_name", clean_dir(F.col("source_dir")).alias("dir"), F.nullif(F.lower(F.trim("file_hash")), F.lit("")).alias("h"))
+        if not self.cover:
+            raise ValueError("this history keeps no parts")
         if not self.batch:
             known = _parts(_named(src)).groupBy("id").agg(F.count("p").alias("parts")).withColumn("covered", F.lit(0).cast("long"))
             copies = src.select("id").limit(0)
@@ -490,7 +495,7 @@ def same_recordings(rows: DataFrame, day: str | None = None, buckets: int | None
     With ``day``, a column of days or timestamps: the last ``daily`` days come one by one as batches, each against the
     history of all before it; what is older is taken in at once, and so are rows without day. The history is deleted.
     """
-    history = History(rows.sparkSession, buckets=buckets)
+    history = History(rows.sparkSession, buckets=buckets, cover=False)
     pairs = [history.ingest(part, name) for name, part in _by_day(rows, day, daily)]
     history.drop()
     return reduce(DataFrame.unionByName, pairs)
