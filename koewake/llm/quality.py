@@ -61,7 +61,8 @@ def _counts(x: str) -> dict[str, str]:
     """SQL of what is counted in line ``x``, each once."""
     words = sorted({w for ws in COMMON.values() for w in ws.split()} - set(ARTICLES.split()))
     known = ", ".join(f"'{w}'" for w in words)
-    spaced = f"CASE WHEN {x} RLIKE {_lit(_CJK)} THEN regexp_replace({x}, {_lit(_CJK)}, ' ') ELSE {x} END"
+    wide = f"{x} RLIKE {_lit(r'[\x{3000}-\x{10FFFF}]')}"  # found at once in East Asian lines, and nothing else to look for in others
+    spaced = f"CASE WHEN {wide} THEN regexp_replace({x}, {_lit(_CJK)}, ' ') ELSE {x} END"
     split = f"split(lower(s), {_lit(_NO_WORD)})"  # empty at the ends only
     n = "size(ws) - CAST(ws[0] = '' AS INT) - CAST(size(ws) > 1 AND element_at(ws, -1) = '' AS INT)"
     korean = f"CASE WHEN {x} RLIKE {_lit(r'[가-힣]')} THEN regexp_count({x}, {_lit(COMMON_KO)}) ELSE 0 END"
@@ -71,7 +72,7 @@ def _counts(x: str) -> dict[str, str]:
         # East Asian signs are those that spaces took the place of
         "words": f"transform(array({spaced}), s -> transform(array({split}), ws -> named_struct('n', {n}, 'known', size(filter(ws, w -> w IN ({known}))), "
         f"'cjk', length(replace({x}, ' ', '')) - length(replace(s, ' ', ''))))[0])[0]",
-        "particles": f"{korean} + {kana}",
+        "particles": f"CASE WHEN {wide} THEN {korean} + {kana} ELSE 0 END",
         "symbols": f"length(translate({marks}, {_text(_PUNCTUATION)}, ''))",
         "digits": _without(x, "[0-9０-９]"),
         "signs": f"length({x})",
@@ -126,7 +127,7 @@ BREAKS = r"[\n\x{0B}\f\r\x{85}\x{2028}\x{2029}]"
 def _bare(x: str) -> str:
     """A trimmed line without the marks of quoting, and the name of a speaker that has text behind it."""
     x = f"CASE WHEN left({x}, 1) = '>' THEN regexp_replace({x}, {_lit(r'^(?:\s*>)+\s*')}, '') ELSE {x} END"
-    return f"regexp_replace({x}, {_lit(r'^[\p{L}\p{M}]{1,12}\s?[:：]\s*(?=\S)')}, '')"
+    return f"CASE WHEN left({x}, 14) RLIKE '[:：]' THEN regexp_replace({x}, {_lit(r'^[\p{L}\p{M}]{1,12}\s?[:：]\s*(?=\S)')}, '') ELSE {x} END"
 
 
 def _lines(text: str) -> str:
