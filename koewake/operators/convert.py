@@ -7,35 +7,39 @@ on. Converted files go to a new place, never over the input; the cache follows b
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import os
 import shutil
 import subprocess
-import tempfile
 import wave
 from collections.abc import Iterable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from koewake import schema as S
+from koewake.operators.repair import resampled
 from koewake.session import ship
-from koewake.sources import files as source
+from koewake.sources import files as files_of
 from koewake.sources.wav import read_pcm, wav_bytes
 
 FIGURES = "sample_rate int, channels int, format string, duration_ms double, error string"
 
 
 class Converter(Protocol):
+    """Works on a local path, or on the bytes of a file that has none; writes nothing."""
+
     def available(self) -> bool: ...
 
-    def probe(self, path: str) -> dict:
-        """``sample_rate, channels, format, duration_ms`` of the first stream of a local file; empty if it can't be read."""
+    def probe(self, source: str | bytes) -> dict:
+        """``sample_rate, channels, format, duration_ms`` of the first stream; empty if it can't be read."""
 
-    def convert(self, path: str, to: str) -> None:
-        """Writes a mono 16-bit WAV file of the wanted rate, or raises."""
+    def convert(self, source: str | bytes) -> bytes:
+        """A mono 16-bit WAV file of the wanted rate, or raises."""
 
 
 class FFmpeg:
@@ -47,19 +51,23 @@ class FFmpeg:
     def available(self) -> bool:
         return bool(shutil.which("ffprobe") and shutil.which("ffmpeg"))
 
-    def probe(self, path: str) -> dict:
-        done = subprocess.run(["ffprobe", "-v", "quiet", "-print_format", "json", "-show_format", "-show_streams", "-select_streams", "a:0", path], capture_output=True, text=True, timeout=self.PROBE_S, check=False)
-        told = json.loads(done.stdout or "{}") if done.returncode == 0 else {}
+    def _run(self, source: str | bytes, seconds: int, program: str, *args: str, to: tuple[str, ...] = ()) -> subprocess.CompletedProcess:
+        at, data = (source, None) if isinstance(source, str) else ("pipe:0", source)
+        return subprocess.run([program, "-v", "error", *args, "-i", at, *to], input=data, capture_output=True, timeout=seconds, check=False)
+
+    def probe(self, source: str | bytes) -> dict:
+        done = self._run(source, self.PROBE_S, "ffprobe", "-print_format", "json", "-show_format", "-show_streams", "-select_streams", "a:0")
+        told = json.loads(done.stdout or b"{}") if done.returncode == 0 else {}
         if not told.get("streams"):
             return {}
         s, seconds = told["streams"][0], float(told.get("format", {}).get("duration") or 0)
         return {"sample_rate": int(s.get("sample_rate") or 0), "channels": int(s.get("channels") or 1), "format": s.get("codec_name") or "", "duration_ms": seconds * 1000 if seconds > 0 else None}
 
-    def convert(self, path: str, to: str) -> None:
-        rate = str(S.SAMPLE_RATE)
-        done = subprocess.run(["ffmpeg", "-y", "-v", "error", "-i", path, "-ar", rate, "-ac", "1", "-sample_fmt", "s16", to], capture_output=True, text=True, timeout=self.CONVERT_S, check=False)
+    def convert(self, source: str | bytes) -> bytes:
+        done = self._run(source, self.CONVERT_S, "ffmpeg", to=("-ar", str(S.SAMPLE_RATE), "-ac", "1", "-f", "s16le", "pipe:1"))
         if done.returncode:
-            raise RuntimeError(f"ffmpeg failed: {done.stderr.strip()[:200]}")
+            raise RuntimeError(f"ffmpeg failed: {done.stderr.decode('utf-8', 'replace').strip()[:200]}")
+        return wav_bytes(np.frombuffer(done.stdout, "<i2"))
 
 
 class Offline:
@@ -68,48 +76,37 @@ class Offline:
     def available(self) -> bool:
         return True
 
-    def probe(self, path: str) -> dict:
+    def _bytes(self, source: str | bytes) -> bytes:
+        if isinstance(source, bytes):
+            return source
+        with open(source, "rb") as f:
+            return f.read()
+
+    def probe(self, source: str | bytes) -> dict:
         try:
-            with wave.open(path, "rb") as w:
+            with wave.open(io.BytesIO(self._bytes(source)), "rb") as w:
                 rate, n = w.getframerate(), w.getnframes()
                 return {"sample_rate": rate, "channels": w.getnchannels(), "format": f"pcm_s{8 * w.getsampwidth()}le", "duration_ms": n / rate * 1000 if n else None}
         except (wave.Error, EOFError, OSError):
             return {}
 
-    def convert(self, path: str, to: str) -> None:
-        from koewake.operators.repair import resampled
-
-        with open(path, "rb") as f:
-            rate, _, x = read_pcm(f.read())
-        with open(to, "wb") as f:
-            f.write(wav_bytes(resampled(x, rate)))
-
-
-class _Local:
-    """A file under a local name, as outside programs need one: itself, or a copy that is deleted again."""
-
-    def __init__(self, path: str) -> None:
-        self.path, self.folder = path, None
+    def convert(self, source: str | bytes) -> bytes:
+        rate, _, x = read_pcm(self._bytes(source))
+        return wav_bytes(resampled(x, rate))
 
-    def __enter__(self) -> str:
-        if "://" not in self.path or self.path.startswith("file:"):
-            return source.local(self.path)
-        self.folder = tempfile.mkdtemp()
-        to = os.path.join(self.folder, os.path.basename(self.path))
-        source.copy(self.path, to)
-        return to
 
-    def __exit__(self, *_) -> None:
-        if self.folder:
-            shutil.rmtree(self.folder, ignore_errors=True)
+def _source(path: str) -> str | bytes:
+    if "://" not in path or path.startswith("file:"):
+        return files_of.local(path)
+    with files_of.opened(path) as f:
+        return f.read()
 
 
 def _probe(path: str, converter: Converter) -> dict:
     if not converter.available():
         return {"error": "converter not installed"}
     try:
-        with _Local(path) as at:
-            return converter.probe(at) or {"error": "unreadable"}
+        return converter.probe(_source(path)) or {"error": "unreadable"}
     except Exception as e:  # noqa: BLE001 - whatever a broken file raises, it is unreadable
         return {"error": f"{type(e).__name__}: {e}"[:200]}
 
@@ -151,20 +148,14 @@ def convert(files: DataFrame, out_dir: str | None = None, converter: Converter |
         was = _probe(path, converter)
         if was.get("error"):
             return was | {"fixed": False}
-        folder = tempfile.mkdtemp()
         try:
             base = os.path.splitext(os.path.basename(path))[0] + ".wav"
-            with _Local(path) as at:
-                converter.convert(at, os.path.join(folder, base))
-            with open(os.path.join(folder, base), "rb") as f:
-                data = f.read()
+            data = converter.convert(_source(path))
             to = "/".join([out_dir.rstrip("/"), hashlib.md5(os.path.dirname(path).encode()).hexdigest()[:8], base])
-            source.save(to, data)
+            files_of.save(to, data)
             return was | {"fixed": True, "new_name": base, "new_hash": hashlib.md5(data).hexdigest(), "new_path": to}
         except Exception as e:  # noqa: BLE001 - a failed conversion is a result
             return was | {"fixed": False, "error": str(e)[:200]}
-        finally:
-            shutil.rmtree(folder, ignore_errors=True)
 
     names, kinds = [*_NAMES, "fixed", "new_name", "new_hash", "new_path"], [*_KINDS, pa.bool_(), *[pa.string()] * 3]
     return files.select("file_path").mapInArrow(_rows(names, kinds, one), f"file_path string, {FIGURES}, fixed boolean, new_name string, new_hash string, new_path string")

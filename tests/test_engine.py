@@ -146,6 +146,24 @@ def test_other_types_by_a_converter(spark, corpus, tmp_path):
     assert "/fixed/" in after["d.wav"]["file_path"] and after["d.wav"]["file_hash"] != held["d.ogg"]["file_hash"] and (corpus / "d.ogg").exists()
 
 
+def test_outside_programs_are_asked_by_path_and_by_pipe(tmp_path, monkeypatch):
+    from koewake.operators.convert import FFmpeg
+    from koewake.sources.wav import read_pcm
+
+    monkeypatch.setenv("PATH", str(tmp_path))
+    assert not FFmpeg().available()
+    told = '{"streams": [{"sample_rate": "44100", "channels": 2, "codec_name": "vorbis"}], "format": {"duration": "1.5"}}'
+    for name, does in [("ffprobe", f"echo '{told}'"), ("ffmpeg", 'case "$*" in *broken*) echo "no stream" >&2; exit 1;; esac; printf "\\001\\000\\002\\000"')]:
+        (tmp_path / name).write_text(f"#!/bin/sh\n{does}\n")
+        (tmp_path / name).chmod(0o755)
+    f = FFmpeg()
+    assert f.available() and f.probe("/x.ogg") == f.probe(b"bytes") == {"sample_rate": 44100, "channels": 2, "format": "vorbis", "duration_ms": 1500.0}
+    rate, channels, x = read_pcm(f.convert(b"bytes"))
+    assert (rate, channels, x.tolist()) == (32000, 1, [1, 2])
+    with pytest.raises(RuntimeError, match="no stream"):
+        f.convert("/broken.ogg")
+
+
 def test_text_emotions(spark):
     from koewake import schema as S
     from koewake.operators import emotions
