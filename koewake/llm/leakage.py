@@ -39,7 +39,7 @@ BY_LETTER = ("ja", "zh")
 #: Items, and letters of them, that go to every task at once; more are searched for in several passes.
 MOST_ITEMS, MOST_LETTERS = 50_000, 20_000_000
 #: Letters of an item that are one piece of it, of documents that are looked up at once, and hits that are expanded at once.
-PIECE, BLOCK, MOST_HITS = 4096, 1 << 21, 1 << 20
+PIECE, BLOCK, MOST_HITS = 4096, 1 << 21, 1 << 18
 _SLAB = 2048
 _NEVER = np.int64(1) << 40
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -168,7 +168,7 @@ class Finder:
         turn = np.cumsum(np.where(hot, 0, hits)) // MOST_HITS  # documents of one turn have few hits together
         for t in np.unique(turn[doc[~hot[doc]]]):
             mine = ~hot[doc] & (turn[doc] == t)
-            found |= self._turn(codes, start, end, doc[mine], at[mine], k[mine], None, exact)
+            found |= self._turn(codes, start, end, doc[mine], at[mine], k[mine], (self.begin, self.n, self.owner, self.place), exact)
         for d in np.flatnonzero(hot):
             mine = doc == d
             found |= self._hot(codes, start, end, int(d), at[mine], k[mine], exact)
@@ -177,27 +177,28 @@ class Finder:
     def _hot(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, d: int, at: np.ndarray, k: np.ndarray, exact: bool) -> set[tuple[int, int]]:
         """As ``search`` for a document with many hits: piece by piece, and without the items that were found before."""
         found: set[tuple[int, int]] = set()
-        known, left, cost = -1, None, None
+        known, held, cost = -1, (), None
         i = 0
         while i < len(at):
             if len(found) != known:
                 known = len(found)
                 left = ~np.isin(self.item[self.owner], [x for _, x in found])
-                cost = np.append(np.add.reduceat(left.astype(np.int64), self.begin)[k].cumsum(), 0)  # [-1] is what comes before the first
+                n = np.add.reduceat(left.astype(np.int64), self.begin)
+                held = (np.cumsum(n) - n, n, self.owner[left], self.place[left])
+                cost = np.append(n[k].cumsum(), 0)  # [-1] is what comes before the first
             to = max(np.searchsorted(cost[:-1], cost[i - 1] + MOST_HITS, "right"), np.searchsorted(at, at[i] + 2 * self.overlap, "right"))
-            found |= self._turn(codes, start, end, np.full(to - i, d), at[i:to], k[i:to], left, exact)
+            found |= self._turn(codes, start, end, np.full(to - i, d), at[i:to], k[i:to], held, exact)
             i = max(i + 1, np.searchsorted(at, at[to] - self.overlap)) if to < len(at) else to
         return found
 
-    def _turn(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, at: np.ndarray, k: np.ndarray, left: np.ndarray | None, exact: bool) -> set[tuple[int, int]]:
-        n = self.n[k]
-        ref = _spans(self.begin[k], n)
+    def _turn(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, at: np.ndarray, k: np.ndarray, held: tuple, exact: bool) -> set[tuple[int, int]]:
+        """``held``: where the hits of each q-gram begin, their number, and the piece and place of each."""
+        begin, n, owner, place = held
+        n = n[k]
+        ref = _spans(begin[k], n)
         at, doc = np.repeat(at, n), np.repeat(doc, n)
-        if left is not None:
-            keep = left[ref]
-            ref, at, doc = ref[keep], at[keep], doc[keep]
-        owner = self.owner[ref]
-        diagonal = at - self.place[ref]
+        owner = owner[ref]
+        diagonal = at - place[ref]
         pair = doc * len(self.made) + owner
         # fewer hits than a band needs on all diagonals together
         _, inverse, total = np.unique(pair, return_inverse=True, return_counts=True)
